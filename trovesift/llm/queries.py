@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from trovesift.llm.shared import documents
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word metrics of every text, and the verdict of the line-first rules."""
+    from trovesift.llm.quality_rules import clean_documents
+
+    return clean_documents(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from trovesift.llm.ngram_join import jaccard_components
@@ -43,4 +52,6 @@ LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_ngram_jaccard_join": OP9_SQL}
+    from trovesift.llm import quality_rules
+
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}
