@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from trovesift.llm.shared import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from rows whose crc32(doc_id) mod 4 is not 2."""
+    from trovesift.llm import langid
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = langid.train(langid.labelled_sample(docs.where(~held_out)))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in sequences of at most 1024 tokens, as few as the search finds."""
+    import public_tokenizers
+
+    from trovesift.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word metrics of every text, and the verdict of the line-first rules."""
     from trovesift.llm.quality_rules import clean_documents
@@ -19,6 +38,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside 13-word windows of benchmark items."""
+    from trovesift.llm.decontam import contamination
+
+    found = contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from trovesift.llm.ngram_join import jaccard_components
@@ -52,6 +79,6 @@ LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    from trovesift.llm import quality_rules
+    from trovesift.llm import decontam, quality_rules
 
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}

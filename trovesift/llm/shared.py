@@ -70,7 +70,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         start = stop
 
 
-def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, function: Callable, schema, column: str = "text") -> DataFrame:
     """`mapInArrow` with `function(RecordBatch) -> RecordBatch | None` on slices of bounded size."""
 
     def run(batches):
@@ -81,3 +81,21 @@ def map_slices(df: DataFrame, function: Callable, schema: str, column: str = "te
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def map_beside(df: DataFrame, function: Callable, added: str, column: str = "text") -> DataFrame:
+    """`df` with more columns: `function(texts: pa.Array) -> list[pa.Array]` on slices of bounded size.
+
+    Columns of `df` with the names of added ones are replaced.
+    """
+    names = [x.split()[0] for x in added.split(", ")]
+    df = df.select(*(c for c in df.columns if c not in names))
+    at = df.columns.index(column)
+
+    def run(batch):
+        return pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], [*batch.schema.names, *names])
+
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], added).schema.fields])
+    return map_slices(df, run, schema, column)
