@@ -29,6 +29,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, shuffled and written into eight shards by the key law, read back."""
+    from trovesift.llm.sharding import shuffle_into_shards
+
+    out = shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word metrics of every text, and the verdict of the line-first rules."""
     from trovesift.llm.quality_rules import clean_documents
@@ -38,6 +47,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from labels of rows whose crc32(doc_id) mod 5 is not 0."""
+    from trovesift.llm import quality_clf
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold(F.col("doc_id")))
+    model = quality_clf.train(quality_clf.labelled_sample(docs, labels))
+    return quality_clf.score_quality(docs, model).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside 13-word windows of benchmark items."""
     from trovesift.llm.decontam import contamination
@@ -53,6 +73,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in seekable bundles, read back from the archives."""
+    from trovesift.llm.warc import read_archives, write_archives
+
+    path, manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read_archives(spark, path, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
