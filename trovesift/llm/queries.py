@@ -66,6 +66,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every text, learned from rows whose crc32(doc_id) mod 10 is not 0."""
+    from trovesift.llm.lm import score_documents
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    return score_documents(documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from trovesift.llm.ngram_join import jaccard_components
