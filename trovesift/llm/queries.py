@@ -47,6 +47,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents by two tokenizers, one's counts revised, and short documents deleted."""
+    from trovesift.llm import token_counts as tc
+    from trovesift.llm.shared import scratch
+
+    docs = documents(spark, sf_dir)
+    count = lambda name: tc.token_count(F.col("text"), tc.PATTERNS[name])
+    of = lambda df, version, n: df.select("source", "lang", F.lit(version).alias("tokenizer_version"), n.alias("n_tokens"))
+    ledger = tc.Ledger(spark, scratch(spark, "ledger"))
+    first = tc.inserts(of(docs, "words-1", count("words-1")))
+    ledger.commit("0-words", first)
+    ledger.commit("1-pieces", tc.inserts(of(docs, "pieces", count("pieces-1"))))
+    both = docs.select("source", "lang", F.lit("pieces").alias("tokenizer_version"), count("pieces-1").alias("was"), count("pieces-2").alias("now"))
+    ledger.commit("2-revised", tc.revised(both, "was", "now"))
+    short = docs.where("n_chars < 40")
+    gone = tc.deletes(of(short, "words-1", count("words-1"))).unionByName(tc.deletes(of(short, "pieces", count("pieces-2"))))
+    ledger.commit("3-short", gone)
+    ledger.commit("0-words", first)  # a batch that comes twice counts once
+    return ledger.totals()
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, learned from labels of rows whose crc32(doc_id) mod 5 is not 0."""
     from trovesift.llm import quality_clf
@@ -115,6 +136,6 @@ LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    from trovesift.llm import decontam, quality_rules
+    from trovesift.llm import decontam, quality_rules, token_counts
 
-    return {"op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op5_token_counts": token_counts.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}

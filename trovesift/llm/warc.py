@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-
         bundle, name, found = Bundle(level), uuid.uuid4().hex, []
 
         def close():
-            with files.open_output_stream(f"{root}/{name}.warc.zst") as out:
+            with files.open_output_stream(f"{root}/{name}.warc.zst", compression=None) as out:
                 out.write(bundle.finish())
             page, frame, offset, size = (list(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays(
