@@ -22,6 +22,7 @@ def _pick(values, index):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # times in the tables are without zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +55,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))[F.col("event_type")]
     return events.select(
         "event_id", (F.col("event_id") % 1000).alias("item_id"), action.alias("action"), F.col("event_type").alias("query"),
-        (F.col("event_id") % 10 + 1).cast("int").alias("position"), F.col("ts").alias("timestamp"), "user_id", "value",
+        (F.col("event_id") % 10 + 1).cast("int").alias("position"), F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "value",
     )
 
 
