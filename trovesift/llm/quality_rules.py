@@ -1,7 +1,7 @@
 """Line-first quality rules, in SQL functions only.
 
-Each line is judged by itself: navigation bars, symbol noise, shouting, stuttering,
-boilerplate notices, and lines without an end mark fail. Failed lines are removed; a
+Each line is judged by itself: navigation bars, symbol noise, shouting, boilerplate
+notices, and lines without an end mark fail. Failed lines are removed; a
 document that loses more than `most_lost_percent` of its word characters is rejected,
 and so is one that fails the base rules (too few words, too much repetition).
 """
@@ -15,26 +15,26 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-BAR = r"(?<![^\x20\x09-\x0D])[|>»•·](?![^\x20\x09-\x0D])"
+BAR = r"(?<![^\x20\x09-\x0D])[|>](?![^\x20\x09-\x0D])"
 SHOUT = r"!!(?![^\x20\x09-\x0D])"
-STUTTER = r"(?<![^ ])([^ ]+)(?= \1(?![^ ]))"
 END_MARK = r"[.!?…:;\x22”»)][\x27\x22)\]]*[\x20\x09-\x0D]*\z"
 NOTICE = (
-    r"(?i)all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy"
-    r"|terms of (use|service)|subscribe|sign (in|up)|log ?in|click here|skip to content|javascript"
+    r"(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy"
+    r"|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)"
 )
 
 
-def line_fails(line: Column) -> Column:
-    """True if a line with words fails a rule; a line without words never does."""
+def line_fails(line: Column, symbols: Column, shouts: Column) -> Column:
+    """True if a line with words fails a rule; a line without words never does.
+
+    `symbols` and `shouts` tell whether the whole text has any, so that clean texts skip these rules.
+    """
     words = F.regexp_count(line, F.lit(WORD))
-    chars = F.length(F.regexp_replace(line, SPACE, ""))
-    bars, shouts, stutters = (F.regexp_count(line, F.lit(x)) for x in (BAR, SHOUT, STUTTER))
-    navigation = (bars >= 2) & (bars * 5 >= words)
-    noise = F.regexp_count(line, F.lit(SYMBOL)) * 10 > chars
-    shouting = (words >= 3) & (shouts * 10 >= words * 3)
-    stuttering = (words >= 3) & (stutters * 10 >= words * 3)
-    return (words > 0) & (~line.rlike(END_MARK) | navigation | noise | shouting | stuttering | line.rlike(NOTICE))
+    bars = F.regexp_count(line, F.lit(BAR))
+    noise = F.regexp_count(line, F.lit(SYMBOL)) * 10 > F.length(F.regexp_replace(line, SPACE, ""))
+    marked = symbols & ((noise & (words > 0)) | ((bars >= 2) & (bars * 5 >= words)))
+    shouted = shouts & line.contains("!!") & (words >= 3) & (F.regexp_count(line, F.lit(SHOUT)) * 10 >= words * 3)
+    return marked | shouted | (line.rlike(WORD) & (~line.rlike(END_MARK) | line.rlike(NOTICE)))
 
 
 def word_metrics(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
@@ -72,12 +72,15 @@ def clean_documents(docs: DataFrame, min_words: int = 20, most_repeat_percent: i
     gives an empty result. Columns that clash with those added are replaced.
     """
     whole = F.coalesce(F.col("text"), F.lit(""))
-    out = word_metrics(docs)
-    out = out.withColumn("cleaned_text", F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x)), "\n"))
-    left = F.length(F.regexp_replace("cleaned_text", SPACE, ""))
+    out = word_metrics(docs).withColumn("_lines", F.split(whole, "\n"))
+    symbols, shouts = F.col("n_symbols") > 0, F.contains(whole, F.lit("!!"))
+    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x, symbols, shouts)))
+    same = F.size("_good") == F.size("_lines")
+    out = out.withColumn("cleaned_text", F.when(same, whole).otherwise(F.array_join("_good", "\n")))
+    left = F.when(same, F.col("word_chars")).otherwise(F.length(F.regexp_replace("cleaned_text", SPACE, "")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     kept = ~F.col("base_failed") & (100 * (F.col("word_chars") - left) <= most_lost_percent * F.col("word_chars"))
-    return out.withColumn("base_failed", failed).withColumn("kept", kept)
+    return out.withColumn("base_failed", failed).withColumn("kept", kept).drop("_lines", "_good")
 
 
 #: The same in DuckDB's SQL, whose patterns have no look-around: by word lists instead.
@@ -91,16 +94,15 @@ windows AS (
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM words),
-parts AS (SELECT doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w, string_split(l, ' ') AS s,
+parts AS (SELECT doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w,
   length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM lines),
 judged AS (
   SELECT doc_id, l, w, chars, len(w) > 0 AND (
     NOT regexp_matches(l, '[.!?…:;\x22”»)][\x27\x22)\]]*[\x20\x09-\x0D]*\z')
-    OR (len(list_filter(w, lambda x: x IN ('|', '>', '»', '•', '·'))) >= 2 AND len(list_filter(w, lambda x: x IN ('|', '>', '»', '•', '·'))) * 5 >= len(w))
+    OR (len(list_filter(w, lambda x: x IN ('|', '>'))) >= 2 AND len(list_filter(w, lambda x: x IN ('|', '>'))) * 5 >= len(w))
     OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 10 > chars
     OR (len(w) >= 3 AND len(list_filter(w, lambda x: suffix(x, '!!'))) * 10 >= len(w) * 3)
-    OR (len(w) >= 3 AND len(list_filter(range(1, len(s)), lambda i: s[i] = s[i + 1] AND s[i] <> '')) * 10 >= len(w) * 3)
-    OR regexp_matches(l, '(?i)all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log ?in|click here|skip to content|javascript')
+    OR regexp_matches(l, '(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)')
   ) AS fails FROM parts),
 totals AS (
   SELECT doc_id, sum(chars) AS word_chars, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost,
