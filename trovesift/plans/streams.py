@@ -1 +1,56 @@
-"""."""
+"""Streaming queries, run over all that is there; the oracles are the batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trovesift.catalog import query
+from trovesift.plans.relations import table
+from trovesift.sources.scratch import shared_folder
+from trovesift.streaming import pipelines as P
+
+
+def _events(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = P.stream_table(spark, f"{sf_dir}/events.parquet")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_dedupe(spark, sf_dir):
+    """Events that arrive twice are kept once."""
+    e = _events(spark, sf_dir)
+    twice = e.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    out = shared_folder(spark, "dedupe")
+    P.run_now(P.dedupe(twice).select("event_id", "event_type"), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_activity(spark, sf_dir):
+    """In update mode each batch writes the windows it touched; the last state of each window counts."""
+    out = shared_folder(spark, "activity")
+    P.run_batches(P.activity(_events(spark, sf_dir)), f"{out}/data", f"{out}/checkpoint")
+    rows = spark.read.parquet(f"{out}/data")
+    last = rows.groupBy(F.unix_timestamp("window.start").alias("start"), "event_type").agg(F.max_by(F.struct("n", "total"), F.col("batch")).alias("s"))
+    return last.select("start", "event_type", "s.n", F.round("s.total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
+s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_activity(spark, sf_dir):
+    """Sessions by a gap of half an hour; beyond the reference, as a batch over the same transformation."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return P.sessions(e).select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_action,
+  substr(sha256(event_type || '|' || user_id || '|' || event_id), 1, 32) AS digest FROM events""")
+def forward_fill_context(spark, sf_dir):
+    from trovesift.operators.learning import latest_context
+
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type"))
+    filled = latest_context(e, "user_id", action, F.struct("ts", "event_id"))
+    return filled.select("event_id", F.col("context").alias("last_action"), F.substring(F.sha2(F.concat_ws("|", "event_type", "user_id", "event_id"), 256), 1, 32).alias("digest"))
