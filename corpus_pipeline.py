@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, with the failed lines gone."""
-    kept = quality_rules.clean_documents(docs).where("kept")
+    kept = quality_rules.keep_clean(docs)
     return kept.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
