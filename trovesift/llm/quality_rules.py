@@ -83,6 +83,16 @@ def clean_documents(docs: DataFrame, min_words: int = 20, most_repeat_percent: i
     return out.withColumn("base_failed", failed).withColumn("kept", kept).drop("_lines", "_good")
 
 
+def keep_clean(docs: DataFrame, **rules) -> DataFrame:
+    """The kept rows of `clean_documents`.
+
+    The row number stands between the filter and what it needs: without it the optimizer
+    would push the filter below the metrics and write them all out in its condition again.
+    """
+    judged = clean_documents(docs, **rules).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).drop("_at")
+
+
 #: The same in DuckDB's SQL, whose patterns have no look-around: by word lists instead.
 ORACLE_SQL = r"""
 WITH words AS (
