@@ -157,6 +157,8 @@ def _svm(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, regular: flo
 def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     """Fit on (text, language) rows; languages with no text are not learned."""
     rows = [(t, lang) for t, lang in rows if t and LETTER.search(t)]
+    if not rows:
+        return LanguageModel([], [], [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), np.zeros(0))
     languages = sorted({lang for _, lang in rows})
     families = sorted({family_of(x) for x in languages})
     pairs = [p for f in families for p in combinations([x for x in languages if family_of(x) == f], 2)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovesift.llm import textops
-from trovesift.llm.shared import discard, materialize, slices
+from trovesift.llm.shared import discard, materialize, most_frequent, slices
 
 #: Frequent tokens known by themselves in a history; those with a softmax of their own, in classes of SLOTS.
 KNOWN, HEAD, SLOTS, MIDDLE = 4096, 256, 16, 4
@@ -86,7 +86,7 @@ class Vocabulary:
         rank = np.arange(KNOWN)
         middle = HEAD // SLOTS + (rank - HEAD) * MIDDLE // max(1, KNOWN - HEAD)
         self.class_of = np.concatenate([np.where(rank < HEAD, rank // SLOTS, middle), NEW_CLASS + np.arange(TAIL)])
-        self.class_tokens = np.bincount(self.class_of[: len(by_rank)], by_rank, CLASSES)
+        self.class_tokens = np.bincount(self.class_of[: len(by_rank)], by_rank, CLASSES).astype(float)
         self.class_tokens[NEW_CLASS:] += self.bin_tokens
 
     def encode(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,10 +343,10 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", rounds: int = 2
 
     answers = materialize(asked.repartition("token").sortWithinPartitions("token").mapInArrow(total, "block long, token long, total long, leads boolean"), "counts")
     words = answers.where("leads and total > 0").select("token", "total")
-    known = words.orderBy(F.desc("total"), "token").limit(KNOWN).collect()
-    hashes = np.array([r.token for r in known], np.int64).view(np.uint64)
+    known = most_frequent(words, "token", "total", KNOWN)
+    hashes = np.array([t for t, _ in known], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    counts = np.array([r.total for r in known], np.int64)
+    counts = np.array([n for _, n in known], np.int64)
     power = F.floor(F.log2("total"))
     bins = F.when(F.col("total") <= 1, 0).when(F.col("total") <= 3, F.col("total") - 1).otherwise(F.least(power + 1, F.lit(TAIL - 1)))
     sums = {r.bin: (r.n, r.v) for r in words.groupBy(bins.cast("int").alias("bin")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()}

@@ -114,8 +114,9 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, rate: float = 0.5, seed:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000) -> list[tuple[str, int]]:
     """At most `most` labelled texts, the first by a seeded hash of the doc_id; all if there are fewer."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    order = F.xxhash64(F.lit("quality sample"), "doc_id")
-    chosen = known.orderBy(order, "doc_id", "quality").limit(most)
+    order = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30))
+    share = min(1.0, (2 * most + 50) / max(1, known.count()))  # enough rows to find the first by hash among, not all
+    chosen = known.where(order <= int(share * (1 << 30))).orderBy(order, "doc_id", "quality").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "text", "quality").collect()
     return [(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text))]
 
