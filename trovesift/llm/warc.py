@@ -28,7 +28,9 @@ SKIPPABLE, SEEK_TABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:trovesift:page:"
 #: Bytes of records in a frame, and in a bundle, before compression.
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
+FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
+#: So many revisits (two numbers each) may be broadcast; beyond it they are joined by a shuffle.
+TOLD_ROWS = 500_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -128,7 +130,7 @@ def _open(address: str):
     return fs.FileSystem.from_uri(address)
 
 
-def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 9) -> tuple[str, DataFrame]:
     """Write a record of each row of `pages` (page_id, url, html); the folder, and the manifest (page_id, bundle, frame, offset, bytes).
 
     A null html is an empty payload. Rows that repeat a page_id are records of their own;
@@ -138,10 +140,12 @@ def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("_digest", F.sha1("html"))
-    shared = rows.groupBy("_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "first")
-    target = F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
-    dealt = rows.join(shared, "_digest", "left").select("page_id", "url", "html", target)
+    digests = rows.select("page_id", F.sha1("html").alias("_digest")).where("page_id is not null")
+    shared = digests.groupBy("_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1")
+    twins = digests.join(shared, "_digest").where("page_id > refers_to").select("page_id", "_digest", "refers_to").distinct()
+    twins = materialize(twins.select("page_id", F.xxhash64("_digest").alias("_hash"), "refers_to"), "twins")
+    told = F.broadcast(twins) if twins.count() <= TOLD_ROWS else twins
+    dealt = rows.withColumn("_hash", F.xxhash64(F.sha1("html"))).join(told, ["page_id", "_hash"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches):
         files, root = _open(path)
