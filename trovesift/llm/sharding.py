@@ -49,7 +49,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20260, key
     gathered = scattered.repartition("shard", "_bucket").groupBy("shard", "_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     mixed = gathered.withColumn("_rows", F.shuffle("_rows", F.lit(seed + 3)))
     placed = mixed.select("shard", "_bucket", F.posexplode("_rows").alias("_place", "_row"))
-    placed.select("shard", "_bucket", "_place", *(F.col("_row")[c].alias(c) for c in docs.columns)).write.partitionBy("shard").parquet(path)
+    placed.select("shard", "_bucket", "_place", *(F.col("_row")[c].alias(c) for c in docs.columns)).write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
     schema = placed.select("_bucket", "_place", *(F.col("_row")[c].alias(c) for c in docs.columns), "shard").schema
     written = spark.read.schema(schema).parquet(path)
