@@ -307,6 +307,56 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_lm_learns_words_of_every_class():
+    """Words far below the ranked ones have a softmax of their own, given histories that know them by themselves."""
+    rng = np.random.default_rng(1)
+    hashes, rank = np.unique(rng.integers(1 << 32, 1 << 60, 5000).astype(np.uint64))[:4096], np.arange(4096)
+    types, size = np.zeros(lm.TAIL, int), np.zeros(lm.TAIL)
+    types[0], types[2], types[9] = 70, 300, 33
+    size[0], size[2], size[9] = 70, 900, 9000
+    counts = 5000 - rank
+    vocabulary = lm.Vocabulary(hashes, rank, counts, int(counts.sum() + size.sum()), 4096 + 403, size, types)
+    all_hashes = np.concatenate([hashes, np.arange(1, 405).astype(np.uint64)])
+    all_counts = np.concatenate([counts, np.ones(70, int), np.full(300, 3), np.full(33, 272), [0]])
+    places = np.concatenate([np.full(4096, -1), np.arange(70), np.arange(300), np.arange(33), [-1]])
+    codes, fixed = vocabulary.encode(all_hashes, all_counts, places)
+    assert len(set(codes.tolist())) == len(codes)
+    first, second = codes[4096 + 70 : 4096 + 80], codes[4096 + 100 : 4096 + 110]
+    pairs = np.stack([first, second], 1)
+    model = lm.MaxEnt.start(vocabulary)
+    before = model.log10(pairs[0], np.array([0]))[1]
+    seen = np.zeros(len(model.upper)), np.zeros(len(model.lower))
+    for _ in range(300):
+        model.update(np.tile(pairs, (20, 1)).ravel(), np.arange(0, 400, 2), 1.0, seen)
+    for a, b in pairs:
+        assert model.log10(np.array([a, b]), np.array([0]))[1] > before + 2
+        assert model.log10(np.array([a, b]), np.array([0]))[1] > model.log10(np.array([a, second[0] if b != second[0] else second[1]]), np.array([0]))[1] + 1
+    text = np.stack([np.full(len(codes), pairs[0, 0]), codes], 1).ravel()
+    last = model.log10(text, np.arange(0, len(text), 2))[1::2] + fixed
+    assert (10.0**last).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_lm_places_are_dense():
+    """Places run from 0 in every bin over all tasks, and leave no gap where a ranked token was."""
+    place = np.array([((task * lm.TAIL + b) << 40) + k for task, b, n in ((0, 0, 3), (0, 2, 4), (3, 0, 2), (3, 2, 5)) for k in range(n)])
+    known = place[[1, 4, 12]]
+    found, sizes = np.unique(place >> 40, return_counts=True)
+    rest = np.setdiff1d(place, known)
+    got = lm.Places.start_of(found[::-1], sizes[::-1], known).find(rest)
+    for b in (0, 2):
+        own = (rest >> 40) % lm.TAIL == b
+        assert sorted(got[own]) == list(range(own.sum()))
+    assert lm.Places.start_of(found, sizes, known).find(np.array([-1])).tolist() == [-1]
+
+
+def test_lm_rounds_take_all_rows(spark):
+    hashes = np.arange(1, 4).astype(np.uint64)
+    vocabulary = lm.Vocabulary(hashes, np.arange(3), np.array([3, 2, 2]), 7, 3, np.zeros(lm.TAIL), np.zeros(lm.TAIL, int))
+    encoded = spark.createDataFrame([(1, [0, 1, 2, 0, 1, 2, 0])], "doc_id long, codes array<int>")
+    moved = [np.abs(lm.train(encoded, vocabulary, rounds).upper).sum() for rounds in (1, 2)]
+    assert moved[1] > 1.2 * moved[0] > 0
+
+
 # 9
 
 

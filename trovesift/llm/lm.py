@@ -1,22 +1,29 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(token | history) = log P(class | history) + log P(token | class, history). Both
+log P(token | history) = log P(class | history) + log P(token | class, history). All
 parts are softmaxes over weights of hashed features of the history: the last token, the
-last two, and the one before the last alone (a skip). Classes are made by frequency:
+last two, and the one before the last alone (a skip). Histories know every training
+token by itself. Classes are made by frequency:
 
-* the HEAD most frequent tokens in equal classes, each with a softmax over its members,
-* the next ones in MIDDLE classes, and all other known tokens by the power of two of
-  their count: there a token has its share of the class's count,
-* tokens seen once, which stand for what is new: the unknown token has a share of that
-  class, the tokens seen once the rest. So unknown tokens get a learned probability.
+* the HEAD most frequent tokens in equal classes, the next ones up to KNOWN in MIDDLE
+  classes by the power of two of their rank,
+* all other training tokens by the power of two of their count, as many classes as the
+  counts need; tokens seen once stand for what is new too: the unknown token has a share
+  of their class.
 
-All probabilities sum to one over the vocabulary and one unknown token.
+Within a class each token has a place. Its digits to the base SLOTS are the path to it in
+a tree, and each digit has a softmax given the digits before it and the history. A node's
+members are known from the class's size alone, so the softmaxes need no table of words.
+
+All probabilities sum to one over the vocabulary and one unknown token. The number of
+buckets grows with the cube root of the number of training tokens, since every task holds
+all weights; features that share a bucket share weights.
 
 Counts of all training tokens are exact and stay distributed: the corpus is read in
 blocks, each block's distinct tokens are counted by a shuffle on the token, and come
 back to the block that asked. Weights are trained by gradient updates over all training
-documents in a few rounds: every task descends on its own part from the same weights,
-and the weights' changes are averaged by how often a task saw the feature.
+documents in each of a few rounds: every task descends on its own part from the same
+weights, and the weights' changes are averaged by how often a task saw the feature.
 """
 
 from __future__ import annotations
@@ -33,13 +40,15 @@ from pyspark.sql import functions as F
 from trovesift.llm import textops
 from trovesift.llm.shared import discard, materialize, most_frequent, slices
 
-#: Frequent tokens known by themselves in a history; those with a softmax of their own, in classes of SLOTS.
+#: Frequent tokens with a class by rank; those in equal classes; members of such a class, and children of a node.
 KNOWN, HEAD, SLOTS, MIDDLE = 4096, 256, 16, 4
-TAIL = 11  # seen once; 2; 3; 4 to 7; ...; 512 and more
-CLASSES = HEAD // SLOTS + MIDDLE + TAIL
+TAIL = 40  # seen once; 2; 3; 4 to 7; 8 to 15; ...
 NEW_CLASS = HEAD // SLOTS + MIDDLE
+#: Codes: ranks of known tokens, one for each bin's tokens without a place, then places in the bins.
+PLACED = KNOWN + TAIL
 #: Share of the class of new tokens that the unknown token has.
 UNKNOWN_SHARE = 0.2
+#: Buckets at least.
 BUCKETS = 1 << 13
 BLOCK_BYTES = 8 << 20
 #: Tokens in a batch of updates or scores.
@@ -67,6 +76,11 @@ def tail_bin(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 1, 0, np.where(counts <= 3, counts - 1, np.minimum(power + 1, TAIL - 1)))
 
 
+def buckets_for(tokens: int) -> int:
+    """Buckets for a number of training tokens: a power of two of about 64 times its cube root."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(64 * max(1, tokens) ** (1 / 3))))
+
+
 @dataclass
 class Vocabulary:
     """known: sorted hashes of the KNOWN most frequent training tokens with code (their rank) and count; statistics of the rest."""
@@ -84,13 +98,20 @@ class Vocabulary:
         by_rank[self.code] = self.count
         self.by_rank = by_rank
         rank = np.arange(KNOWN)
-        middle = HEAD // SLOTS + (rank - HEAD) * MIDDLE // max(1, KNOWN - HEAD)
-        self.class_of = np.concatenate([np.where(rank < HEAD, rank // SLOTS, middle), NEW_CLASS + np.arange(TAIL)])
-        self.class_tokens = np.bincount(self.class_of[: len(by_rank)], by_rank, CLASSES).astype(float)
-        self.class_tokens[NEW_CLASS:] += self.bin_tokens
-
-    def encode(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of tokens with their training counts, and log10 P(token | class) where that is fixed (else 0)."""
+        middle = HEAD // SLOTS + np.log2(np.maximum(rank, HEAD) // HEAD).astype(np.int64)
+        used = np.asarray(self.bin_types) > 0
+        used[0] = True  # what is new
+        self.class_of = np.concatenate([np.where(rank < HEAD, rank // SLOTS, middle), NEW_CLASS + np.maximum(np.cumsum(used) - 1, 0)])
+        self.classes = NEW_CLASS + int(used.sum())
+        self.class_tokens = np.bincount(self.class_of[: len(by_rank)], by_rank, self.classes).astype(float)
+        self.class_tokens += np.bincount(self.class_of[KNOWN:], self.bin_tokens, self.classes)
+        self.base = np.concatenate([[0], np.cumsum(self.bin_types)]).astype(np.int64)
+
+    def encode(self, hashes: np.ndarray, counts: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of tokens with their training counts, and log10 P(token | class) where that is fixed (else 0).
+
+        `places` are those of tokens in their bins, -1 for none; a token without one has its share of the class's count.
+        """
         place = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
         hit = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
         bins = tail_bin(counts)
@@ -98,7 +119,40 @@ class Vocabulary:
         fixed = np.log10(np.maximum(counts, 1) / np.maximum(self.class_tokens[self.class_of[code]], 1))
         singles = self.bin_types[0]
         fixed = np.where(~hit & (bins == 0), np.where(counts == 0, math.log10(UNKNOWN_SHARE if singles else 1.0), math.log10((1 - UNKNOWN_SHARE) / max(1, singles))), fixed)
-        return code.astype(np.int16), np.where(hit & (code < HEAD), 0.0, fixed)
+        if places is not None:
+            placed = ~hit & (places >= 0)
+            code = np.where(placed, PLACED + self.base[bins] + places, code)
+            fixed = np.where(placed, np.where(bins == 0, math.log10(1 - UNKNOWN_SHARE), 0.0), fixed)
+        return code, np.where(hit, 0.0, fixed)
+
+
+@dataclass
+class Places:
+    """Places of tokens in the bins, from `place` values: task and bin above bit 40, and a running number in both below."""
+
+    start: np.ndarray
+    known: np.ndarray
+
+    @classmethod
+    def start_of(cls, groups: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> Places:
+        """groups: task * TAIL + bin with sizes; known: `place` values of the known tokens, which have no place in the bins."""
+        start, known = np.zeros(groups.max(initial=-1) + 1, np.int64), np.sort(known)
+        own = np.bincount(known >> 40, minlength=len(start))
+        for b in range(TAIL):
+            rows = np.sort(groups[groups % TAIL == b])
+            left = np.zeros(len(start), np.int64)
+            left[groups] = sizes
+            left -= own
+            start[rows] = np.cumsum(left[rows]) - left[rows]
+        return cls(start, known)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """0, 1, 2, ... within each bin over all tasks; -1 stays."""
+        if not len(self.start):
+            return np.full(len(place), -1, np.int64)
+        group = np.maximum(place, 0) >> 40
+        before = np.searchsorted(self.known, place) - np.searchsorted(self.known, group << 40)
+        return np.where(place < 0, -1, self.start[group] + (place & ((1 << 40) - 1)) - before)
 
 
 def _blocks(batches):
@@ -142,13 +196,13 @@ def _with_block(batches):
         yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, block))], ["doc_id", "text", "held_out", "block"])
 
 
-def _encode_block(told):
+def _encode_block(told, wide: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocabulary: Vocabulary = told.value
+        vocabulary, places = told.value
         tokens = right.column("token").to_numpy().view(np.uint64)
         order = np.argsort(tokens)
         tokens, counts = tokens[order], right.column("total").to_numpy()[order]
-        codes, fixed = vocabulary.encode(tokens, counts)
+        codes, fixed = vocabulary.encode(tokens, counts, places.find(right.column("place").to_numpy()[order]))
         base = np.log10((counts + 0.1) / (vocabulary.tokens + 0.1 * (vocabulary.types + 1)))
         out = []
         for batch in left.to_batches():
@@ -161,7 +215,7 @@ def _encode_block(told):
                 out.append(
                     pa.RecordBatch.from_arrays(
                         [piece.column(0), piece.column(2), pa.array(np.diff(bounds)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(sums(base)), pa.array(sums(fixed)),
-                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes[place]))],
+                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes[place], wide))],
                         ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "fixed", "codes"],
                     )
                 )
@@ -171,10 +225,69 @@ def _encode_block(told):
 
 
 @dataclass
-class MaxEnt:
-    """bias: log shares of classes; slots: log shares within head classes; upper, lower: hashed weights of the two softmaxes."""
+class Layout:
+    """Trees of the classes: size, levels and first known rank of each, and rows of `slots`: for each node, or two (full, last) for each level."""
 
     class_of: np.ndarray
+    base: np.ndarray
+    levels: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> tuple[Layout, np.ndarray]:
+        """The layout, and shares of children."""
+        n, ranks = vocabulary.classes, vocabulary.class_of[: len(vocabulary.by_rank)]
+        size = np.bincount(ranks, minlength=n)
+        size[vocabulary.class_of[KNOWN:][vocabulary.bin_types > 0]] += vocabulary.bin_types[vocabulary.bin_types > 0]
+        first = np.searchsorted(vocabulary.class_of[:KNOWN], np.arange(n))
+        levels = np.array([next(k for k in range(17) if SLOTS**k >= x) for x in size])
+        row, slots, at = np.zeros((n, max(1, levels.max())), np.int64), [], 0
+        for c in range(n):
+            counts = vocabulary.by_rank[ranks == c] if c < NEW_CLASS else None
+            for level in range(levels[c]):
+                each = SLOTS**level
+                if counts is not None:
+                    found = np.zeros(-(-size[c] // (SLOTS * each)) * SLOTS)
+                    found[: -(-size[c] // each)] = np.add.reduceat(counts, np.arange(0, size[c], each))
+                    found = found.reshape(-1, SLOTS)
+                else:
+                    last = (size[c] - 1) // (SLOTS * each)
+                    found = np.stack([np.full(SLOTS, each), np.clip(size[c] - (last * SLOTS + np.arange(SLOTS)) * each, 0, each)])
+                row[c, level] = at
+                at += len(found)
+                slots.append(found)
+        return cls(vocabulary.class_of, vocabulary.base, levels, first, size, row), np.concatenate(slots) if slots else np.ones((1, SLOTS))
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of tokens and their places in them, -1 for tokens without one."""
+        kind = self.class_of[np.minimum(codes, PLACED - 1)]
+        at = np.where(codes < KNOWN, codes - self.first[kind], -1)
+        placed = np.flatnonzero(codes >= PLACED)
+        own = codes[placed] - PLACED
+        bins = np.searchsorted(self.base, own, "right") - 1
+        kind[placed], at[placed] = self.class_of[KNOWN + bins], own - self.base[bins]
+        return kind, at
+
+    def paths(self, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All steps of all tokens: token, key of the node, its row of `slots`, and the child taken."""
+        out = []
+        for level in range(self.row.shape[1]):
+            rows = np.flatnonzero((self.levels[kind] > level) & (at >= 0))
+            c, child = kind[rows], at[rows] >> (4 * level)
+            node = child >> 4
+            last = (self.size[c] - 1) >> (4 * level + 4)
+            key = node * 4096 + c * 16 + level + 1
+            out.append((rows, key, self.row[c, level] + np.where(c < NEW_CLASS, node, node == last), child & (SLOTS - 1)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+@dataclass
+class MaxEnt:
+    """bias: log shares of classes; slots: log shares of a node's children; upper, lower: hashed weights of the softmaxes of classes and of children."""
+
+    layout: Layout
     bias: np.ndarray
     slots: np.ndarray
     upper: np.ndarray
@@ -184,47 +297,46 @@ class MaxEnt:
     def start(cls, vocabulary: Vocabulary) -> MaxEnt:
         share = vocabulary.class_tokens.astype(float)
         share[NEW_CLASS] = max(share[NEW_CLASS], 0.5)
-        head = np.zeros(HEAD)
-        head[: min(HEAD, len(vocabulary.by_rank))] = vocabulary.by_rank[:HEAD]
+        layout, children = Layout.of(vocabulary)
         with np.errstate(divide="ignore"):
-            bias, slots = np.log(share / share.sum()), np.log(head.reshape(-1, SLOTS))
-        low = -1e4
+            bias, slots = np.log(share / share.sum()), np.log(children / children.sum(1, keepdims=True))
+        low, buckets = -1e4, buckets_for(vocabulary.tokens)
         return cls(
-            vocabulary.class_of, np.maximum(bias, low).astype(np.float32), np.maximum(slots, low).astype(np.float32),
-            np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, SLOTS), np.float32),
+            layout, np.maximum(bias, low).astype(np.float32), np.maximum(slots, low).astype(np.float32),
+            np.zeros((buckets, vocabulary.classes), np.float32), np.zeros((buckets, SLOTS), np.float32),
         )
 
     def parts(self, codes: np.ndarray, starts: np.ndarray):
-        """Class logits with their features; and, for tokens of head classes, slot logits with theirs."""
+        """Class logits with their features; and, for each step within a class, the logits of the children with theirs."""
         codes = codes.astype(np.int64)
-        edge = KNOWN + TAIL
+        edge = -1
         one = np.concatenate([[edge], codes[:-1]])
         one[starts] = edge
         two = np.concatenate([[edge], one[:-1]])
         two[starts] = edge
-        shift = np.uint64(65 - BUCKETS.bit_length())
+        shift = np.uint64(65 - len(self.upper).bit_length())
         bucket = lambda k, a, b=0: (textops.mix(np.uint64(k) + a.astype(np.uint64) * np.uint64(8191) + np.uint64(0) + np.asarray(b).astype(np.uint64) * np.uint64(67108859)) >> shift).astype(np.int64)
         features = (bucket(1, one), bucket(2, one, two + 1), bucket(3, two))
         logits = self.bias + self.upper[features[0]]
         for f in features[1:]:
             logits += self.upper[f]
-        kind = self.class_of[codes]
-        head = np.flatnonzero(codes < HEAD)
-        inner = (bucket(4, one[head], kind[head] + 1), bucket(5, two[head], kind[head] + 1))
-        lower = self.slots[kind[head]] + self.lower[inner[0]] + self.lower[inner[1]]
-        return kind, logits, features, head, codes[head] % SLOTS, lower, inner
+        kind, at = self.layout.find(codes)
+        steps, key, row, slot = self.layout.paths(kind, at)
+        inner = (bucket(4, one[steps], key), bucket(5, two[steps], key))
+        lower = self.slots[row] + self.lower[inner[0]] + self.lower[inner[1]]
+        return kind, logits, features, steps, slot, lower, inner
 
     def log10(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability, but for the fixed part of tokens outside the head."""
-        kind, logits, _, head, slot, lower, _ = self.parts(codes, starts)
+        """log10 of each token's probability, but for the fixed part of tokens without a place and of new ones."""
+        kind, logits, _, steps, slot, lower, _ = self.parts(codes, starts)
         out = (logits[np.arange(len(kind)), kind] - _log_sum(logits)).astype(np.float64)
-        if len(head):
-            out[head] += lower[np.arange(len(head)), slot] - _log_sum(lower)
+        if len(steps):
+            out += np.bincount(steps, lower[np.arange(len(slot)), slot] - _log_sum(lower), len(out))
         return out / LN10
 
     def update(self, codes: np.ndarray, starts: np.ndarray, rate: float, seen: tuple[np.ndarray, np.ndarray]) -> None:
         """One gradient step on a batch; a bucket moves by its mean gradient, damped where it was seen little."""
-        kind, logits, features, head, slot, lower, inner = self.parts(codes, starts)
+        kind, logits, features, _, slot, lower, inner = self.parts(codes, starts)
         for table, scores, target, ids, count in ((self.upper, logits, kind, features, seen[0]), (self.lower, lower, slot, inner, seen[1])):
             if not len(target):
                 continue
@@ -258,17 +370,18 @@ def _code_batches(batches, column: int):
 
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 1.0) -> MaxEnt:
-    """Weights from all rows of `encoded` (codes): each round takes its share of the documents, and all rounds take all."""
+    """Weights from all rows of `encoded` (codes), in every round."""
     spark = encoded.sparkSession
     model = MaxEnt.start(vocabulary)
-    width = max(CLASSES, SLOTS)
-    for r in range(rounds):
+    buckets, classes = model.upper.shape
+    width = max(classes, SLOTS)
+    for _ in range(rounds):
         told = spark.sparkContext.broadcast(model)
 
         def descend(batches, told=told):
             own: MaxEnt = told.value
-            own = MaxEnt(own.class_of, own.bias, own.slots, own.upper.copy(), own.lower.copy())
-            seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+            own = MaxEnt(own.layout, own.bias, own.slots, own.upper.copy(), own.lower.copy())
+            seen = np.zeros(buckets), np.zeros(buckets)
             for codes, starts, _, _, _ in _code_batches(batches, 0):
                 own.update(codes, starts, rate, seen)
             for k, (new, old, count) in enumerate(((own.upper, told.value.upper, seen[0]), (own.lower, told.value.lower, seen[1]))):
@@ -276,33 +389,34 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: flo
                 moved = np.zeros((len(ids), width), np.float32)
                 moved[:, : new.shape[1]] = (new[ids] - old[ids]) * count[ids, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(moved.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids + k * BUCKETS), pa.array(count[ids]), lists], ["bucket", "n", "moved"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids + k * buckets), pa.array(count[ids]), lists], ["bucket", "n", "moved"])
 
         def add(batches):
-            total: dict[int, list] = {}
+            row, n, total = np.full(2 * buckets, -1), np.zeros(0), np.zeros((0, width))
             for batch in batches:
-                values = batch.column(2).values.to_numpy(zero_copy_only=False)
-                bounds = batch.column(2).offsets.to_numpy()
-                for i, (b, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                    row = values[bounds[i] : bounds[i + 1]].astype(np.float64)
-                    if b in total:
-                        total[b][0] += n
-                        total[b][1] += row
-                    else:
-                        total[b] = [n, row]
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x for x, _ in total.values()]), pa.array([(y / x).astype(np.float32) for x, y in total.values()], pa.list_(pa.float32()))], ["bucket", "n", "moved"])
+                ids = batch.column(0).to_numpy()
+                new = np.unique(ids[row[ids] < 0])
+                row[new] = len(n) + np.arange(len(new))
+                n, total = np.concatenate([n, np.zeros(len(new))]), np.concatenate([total, np.zeros((len(new), width))])
+                np.add.at(n, row[ids], batch.column(1).to_numpy())
+                np.add.at(total, row[ids], batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+            if len(n):
+                ids = np.flatnonzero(row >= 0)
+                means = (total[row[ids]] / n[row[ids], None]).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(means.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[row[ids]]), lists], ["bucket", "n", "moved"])
 
         schema = "bucket long, n double, moved array<float>"
-        part = encoded.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == r).select("codes")
-        means = part.mapInArrow(descend, schema).repartition("bucket").mapInArrow(add, schema).toArrow()  # at most 2 * BUCKETS rows
+        part = encoded.select("codes")
+        means = part.mapInArrow(descend, schema).repartition("bucket").mapInArrow(add, schema).select("bucket", "moved").toArrow()  # at most 2 * buckets rows
         ids = means.column("bucket").to_numpy()
         if len(ids):
-            moved = np.stack(means.column("moved").to_numpy())
-            model = MaxEnt(model.class_of, model.bias, model.slots, model.upper.copy(), model.lower.copy())
-            high = ids < BUCKETS
-            model.upper[ids[high]] += moved[high][:, :CLASSES]
-            model.lower[ids[~high] - BUCKETS] += moved[~high][:, :SLOTS]
+            moved = means.column("moved").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            model = MaxEnt(model.layout, model.bias, model.slots, model.upper.copy(), model.lower.copy())
+            high = ids < buckets
+            model.upper[ids[high]] += moved[high][:, :classes]
+            model.lower[ids[~high] - buckets] += moved[~high][:, :SLOTS]
+        told.unpersist()
     return model
 
 
@@ -319,14 +433,23 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", rounds: int = 2
     asked = docs.mapInArrow(_requests, "block long, token long, c long")
 
     def total(batches):
-        """Totals of tokens; all rows of a token are in this partition, sorted."""
-        held = []
+        """Totals of tokens, and their `place`: this task and the bin, and the number of such tokens before it. All rows of a token are in this partition, sorted."""
+        held, used = [], np.zeros(TAIL, np.int64)
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
 
         def cut(rows):
             block, token, c = (np.concatenate(x) for x in zip(*rows, strict=True))
             at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             times = np.diff(np.concatenate([at, [len(token)]]))
-            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(token), pa.array(np.repeat(np.add.reduceat(c, at), times)), pa.array(np.isin(np.arange(len(token)), at, assume_unique=True))], ["block", "token", "total", "leads"])
+            sums = np.add.reduceat(c, at)
+            place = np.full(len(at), -1)
+            for b in np.unique(tail_bin(sums[sums > 0])):
+                own = np.flatnonzero((sums > 0) & (tail_bin(sums) == b))
+                place[own] = ((task * TAIL + b) << 40) + used[b] + np.arange(len(own))
+                used[b] += len(own)
+            columns = block, token, np.repeat(sums, times), np.repeat(place, times), np.isin(np.arange(len(token)), at, assume_unique=True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "token", "total", "place", "leads"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -341,24 +464,25 @@ def score_documents(docs: DataFrame, held_out: str = "held_out", rounds: int = 2
         if held:
             yield cut(held)
 
-    answers = materialize(asked.repartition("token").sortWithinPartitions("token").mapInArrow(total, "block long, token long, total long, leads boolean"), "counts")
-    words = answers.where("leads and total > 0").select("token", "total")
-    known = most_frequent(words, "token", "total", KNOWN)
-    hashes = np.array([t for t, _ in known], np.int64).view(np.uint64)
+    answers = materialize(asked.repartition("token").sortWithinPartitions("token").mapInArrow(total, "block long, token long, total long, place long, leads boolean"), "counts")
+    words = answers.where("leads and total > 0").select(F.struct("token", "place").alias("word"), "total")
+    known = most_frequent(words, "word", "total", KNOWN)
+    hashes = np.array([w.token for w, _ in known], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     counts = np.array([n for _, n in known], np.int64)
-    power = F.floor(F.log2("total"))
-    bins = F.when(F.col("total") <= 1, 0).when(F.col("total") <= 3, F.col("total") - 1).otherwise(F.least(power + 1, F.lit(TAIL - 1)))
-    sums = {r.bin: (r.n, r.v) for r in words.groupBy(bins.cast("int").alias("bin")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()}
+    sums = words.groupBy(F.shiftright("word.place", 40).alias("g")).agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
+    groups, tokens, types = (np.array([r[k] for r in sums], np.int64) for k in range(3))
     own_bins = tail_bin(counts)
-    bin_tokens = np.array([sums.get(k, (0, 0))[0] for k in range(TAIL)], float) - np.bincount(own_bins, counts, TAIL)
-    bin_types = np.array([sums.get(k, (0, 0))[1] for k in range(TAIL)], np.int64) - np.bincount(own_bins, minlength=TAIL)
-    vocabulary = Vocabulary(hashes[order], order, counts[order], sum(n for n, _ in sums.values()), sum(v for _, v in sums.values()), bin_tokens, bin_types)
-    told = spark.sparkContext.broadcast(vocabulary)
+    bin_tokens = np.bincount(groups % TAIL, tokens, TAIL) - np.bincount(own_bins, counts, TAIL)
+    bin_types = np.bincount(groups % TAIL, types, TAIL).astype(np.int64) - np.bincount(own_bins, minlength=TAIL)
+    places = Places.start_of(groups, types, np.array([w.place for w, _ in known], np.int64))
+    vocabulary = Vocabulary(hashes[order], order, counts[order], int(tokens.sum()), int(types.sum()), bin_tokens, bin_types)
+    told = spark.sparkContext.broadcast((vocabulary, places))
+    wide = "int" if PLACED + vocabulary.types < 1 << 31 else "long"
 
     left = docs.mapInArrow(_with_block, "doc_id long, text string, held_out boolean, block long")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, fixed double, codes array<short>"
-    encoded = left.groupBy("block").cogroup(answers.select("block", "token", "total").groupBy("block")).applyInArrow(_encode_block(told), schema)
+    schema = f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, fixed double, codes array<{wide}>"
+    encoded = left.groupBy("block").cogroup(answers.select("block", "token", "total", "place").groupBy("block")).applyInArrow(_encode_block(told, pa.int32() if wide == "int" else pa.int64()), schema)
     encoded = materialize(encoded, "encoded")
     discard(answers)
     model = spark.sparkContext.broadcast(train(encoded.where(~F.col("held_out")), vocabulary, rounds))
