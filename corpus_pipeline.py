@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    found = shared.materialize(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    found = shared.materialize(ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     if gone.count() <= ngram_join.TOLD_ROWS:
         gone = F.broadcast(gone)

@@ -28,6 +28,17 @@ def test_pipeline_against_brute_force(spark, data):
     assert 0 < len(clean) < docs.count()
 
 
+def test_near_duplicates_by_five_words_at_four_fifths(spark, data):
+    """Two edits apart in 100 words: 86 of 106 five-word shingles are shared, but 89 of 105 four-word ones."""
+    words = [[f"t{k}w{i}" for i in range(100)] for k in range(2)]
+    edited = [*words[0][:30], "x", *words[0][31:60], "y", *words[0][61:]]
+    more = [*edited[:80], "z", *edited[81:]]
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words[0], edited, words[1], [*words[1][:20], "a", *words[1][21:50], "b", *words[1][51:80], "c", *words[1][81:]], more))]
+    groups = components([r[:2] for r in rows], n=5, percent=80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()} == {d for d in groups if groups[d][1] == d} == {0, 2, 3}
+
+
 def test_stages_keep_columns_and_empty_tables(spark, data):
     from trovesift.llm import shared
 
