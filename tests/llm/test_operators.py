@@ -68,6 +68,24 @@ def test_language_odd_rows(spark, odd, empty):
     assert alone[0][0] == together[0][1] and alone[1][0] == pytest.approx(together[1][1], abs=1e-9)
 
 
+def related(members, seed=3, words=80):
+    """A trainer's rows and fresh texts of languages that share half of their words."""
+    rnd = random.Random(seed)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7)))
+    common = [word("aeiourst") for _ in range(50)]
+    own = {m: common + [word(f"aeiourst{letters}") for _ in range(50)] for m, letters in zip(members, ("bcdbcd", "fghfgh", "jklmjk", "npqnpq", "vwxvwx"), strict=False)}
+    text = lambda m: " ".join(rnd.choice(own[m]) for _ in range(words))
+    return [(text(m), m) for m in members for _ in range(40)], [(text(m), m) for m in members for _ in range(10)]
+
+
+@pytest.mark.parametrize("members", [("fr", "es", "it", "pt"), ("en", "de", "nl", "sv", "da")])
+def test_language_score_of_large_families(members):
+    rows, fresh = related(members)
+    labels, scores = langid.train(rows).predict(pa.array([t for t, _ in fresh]))
+    right = [s for a, (_, b), s in zip(labels, fresh, scores, strict=True) if a == b]
+    assert len(right) >= 0.95 * len(fresh) and np.median(right) > 0.9 and max(scores) <= 1
+
+
 # 2
 
 

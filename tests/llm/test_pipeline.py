@@ -1,7 +1,7 @@
 """run() against a brute-force version of its stages."""
 
 import pytest
-from test_operators import components, contaminated
+from test_operators import components, contaminated, related
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,6 +28,12 @@ def test_pipeline_against_brute_force(spark, data):
     assert 0 < len(clean) < docs.count()
 
 
+def test_language_keeps_a_family_of_four(spark, data):
+    rows = [(k, text, lang, "s", 1) for k, (text, lang) in enumerate(related(("fr", "es", "it", "pt"))[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language(spark, docs, data).count() >= 0.95 * len(rows)
+
+
 def test_near_duplicates_by_five_words_at_four_fifths(spark, data):
     """Two edits apart in 100 words: 86 of 106 five-word shingles are shared, but 89 of 105 four-word ones."""
     words = [[f"t{k}w{i}" for i in range(100)] for k in range(2)]

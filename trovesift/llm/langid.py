@@ -110,16 +110,21 @@ class LanguageModel:
         for f, family in enumerate(self.families):
             rows = best == f
             members = [x for x in self.languages if family_of(x) == family]
-            votes = np.zeros((count, len(members)))
+            votes, against = np.zeros((count, len(members))), np.zeros((count, len(members)))
             for k, (a, b) in enumerate(self.pairs):
                 if a in members:
                     p = chance[:, len(self.families) + k]
                     votes[:, members.index(a)] += p
                     votes[:, members.index(b)] += 1 - p
-            votes = votes / max(1, len(members) * (len(members) - 1) / 2) if len(members) > 1 else votes + 1
+                    odds = np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12)
+                    against[:, members.index(a)] += 1 / odds
+                    against[:, members.index(b)] += odds
+            # Pairwise coupling (Price et al., 1995): odds against a member add up; for two members it is the pair's own chance.
+            coupled = 1 / (1 + against)
+            coupled /= coupled.sum(1, keepdims=True)
             pick = votes.argmax(1)
             labels[rows] = np.array(members, object)[pick[rows]]
-            scores[rows] = (families[:, f] * votes[np.arange(count), pick])[rows]
+            scores[rows] = (families[:, f] * coupled[np.arange(count), pick])[rows]
         labels[~lettered], scores[~lettered] = UNKNOWN, 0.0
         return labels.tolist(), np.clip(scores, 0, 1)
 
