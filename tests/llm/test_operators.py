@@ -303,76 +303,114 @@ def test_lm_base_and_gain(spark, odd, empty):
     assert all(r.base_score == 0 and r.train_tokens == 0 for r in none)
 
 
-def test_lm_probabilities_sum_to_one():
+def vocabulary_of(counts, other_counts, discount=0.4):
+    """Told tokens with falling counts, others with theirs, and the hashes of both."""
     rng = np.random.default_rng(0)
-    counts = np.sort(rng.integers(2, 500, 300))[::-1]
-    hashes = np.unique(rng.integers(1, 1 << 60, 300).astype(np.uint64))
-    code = np.arange(300)
-    bins = np.zeros(lm.TAIL)
-    bins[0], bins[2] = 40, 30
-    types = np.zeros(lm.TAIL, int)
-    types[0], types[2] = 40, 10
-    vocabulary = lm.Vocabulary(hashes, code, counts[code], int(counts.sum() + 70), 350, bins, types)
+    hashes = rng.permutation(np.unique(rng.integers(1, 1 << 63, len(counts) + len(other_counts) + 9).astype(np.uint64) * np.uint64(2)))
+    told, others = hashes[: len(counts)], hashes[len(counts) : len(counts) + len(other_counts)]
+    leaf = (others >> np.uint64(48)).astype(np.int64)
+    mass, types = np.bincount(leaf, other_counts, 1 << 16).astype(int), np.bincount(leaf, minlength=1 << 16)
+    n, v = int(np.sum(counts) + np.sum(other_counts)), len(counts) + len(other_counts)
+    return lm.Vocabulary(told, np.array(counts), mass, types, n, v, discount), told, others
+
+
+def shares(vocabulary, hashes, counts):
+    """log10 of the share of its leaf that each other token has; counts of 0 are unknown words."""
+    codes = vocabulary.codes(hashes)
+    leaf = vocabulary.leaf(codes)
+    own = np.where(counts > 0, np.log10(np.maximum(counts - vocabulary.discount, 1e-9)), vocabulary.unknown[leaf])
+    return codes, own - np.log10(vocabulary.weight[leaf])
+
+
+def after(model, history, codes):
+    """log10 of each code's probability after the history."""
+    if not len(codes):
+        return np.zeros(0)
+    text = np.concatenate([np.append(history, c) for c in codes]).astype(np.int32)
+    width = len(history) + 1
+    return model.log10(text, np.arange(0, len(text), width))[width - 1 :: width]
+
+
+@pytest.mark.parametrize("n_others", [0, 3, 90])
+def test_lm_probabilities_sum_to_one(n_others):
+    rng = np.random.default_rng(3)
+    counts, other_counts = np.sort(rng.integers(2, 500, 3000))[::-1], rng.integers(1, 4, n_others)
+    vocabulary, told, others = vocabulary_of(counts, other_counts)
     model = lm.MaxEnt.start(vocabulary)
+    seen = [np.zeros(len(x)) for x in model.tables]
+    codes = vocabulary.codes(told)
+    assert codes.tolist() == list(range(3000))
     for _ in range(5):
-        model.update(rng.integers(0, 300, 2000).astype(np.int16), np.array([0]), 1.0, (np.zeros(lm.BUCKETS), np.zeros(lm.BUCKETS)))
-    all_hashes = np.concatenate([hashes, np.arange(1, 52).astype(np.uint64)])
-    all_counts = np.concatenate([counts[code], np.ones(40, int), np.full(10, 3), [0]])
-    codes, fixed = vocabulary.encode(all_hashes, all_counts)
-    total = 0.0
-    for c, f in zip(codes, fixed, strict=True):
-        total += 10 ** (model.log10(np.array([7, 3, c], np.int16), np.array([0]))[2] + f)
+        text = np.concatenate([rng.choice(codes, 3000), vocabulary.codes(rng.choice(others, 200))]) if n_others else rng.choice(codes, 3000)
+        model.update(text.astype(np.int32), np.array([0]), 1.0, seen, rng)
+    other_codes, own = shares(vocabulary, others, other_counts)
+    leaves = np.arange(lm.SLOTS**vocabulary.levels)
+    unknown = (lm.OTHER + (leaves << (30 - 4 * vocabulary.levels))).astype(np.int32)
+    rest = vocabulary.unknown - np.log10(vocabulary.weight)
+    total = sum((10.0 ** (after(model, [7, 3], c) + x)).sum() for c, x in ((codes, 0.0), (other_codes, own), (unknown, rest)))
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_lm_starts_from_exact_shares():
+    """Without weights a told token has its share of the corpus, another its discounted one."""
+    rng = np.random.default_rng(4)
+    counts, other_counts = np.sort(rng.integers(5, 5000, 20000))[::-1], rng.integers(1, 4, 700)
+    vocabulary, told, others = vocabulary_of(counts, other_counts)
+    model = lm.MaxEnt.start(vocabulary)
+    total = vocabulary.weight.sum() + counts.sum()
+    assert after(model, [], vocabulary.codes(told)) == pytest.approx(np.log10(counts / total), abs=1e-4)
+    codes, own = shares(vocabulary, others, other_counts)
+    assert after(model, [], codes) + own == pytest.approx(np.log10((other_counts - vocabulary.discount) / total), abs=1e-4)
+
+
 def test_lm_learns_words_of_every_class():
-    """Words far below the ranked ones have a softmax of their own, given histories that know them by themselves."""
+    """Words of each class, told or not, have softmaxes that histories change, which know words by themselves."""
     rng = np.random.default_rng(1)
-    hashes, rank = np.unique(rng.integers(1 << 32, 1 << 60, 5000).astype(np.uint64))[:4096], np.arange(4096)
-    types, size = np.zeros(lm.TAIL, int), np.zeros(lm.TAIL)
-    types[0], types[2], types[9] = 70, 300, 33
-    size[0], size[2], size[9] = 70, 900, 9000
-    counts = 5000 - rank
-    vocabulary = lm.Vocabulary(hashes, rank, counts, int(counts.sum() + size.sum()), 4096 + 403, size, types)
-    all_hashes = np.concatenate([hashes, np.arange(1, 405).astype(np.uint64)])
-    all_counts = np.concatenate([counts, np.ones(70, int), np.full(300, 3), np.full(33, 272), [0]])
-    places = np.concatenate([np.full(4096, -1), np.arange(70), np.arange(300), np.arange(33), [-1]])
-    codes, fixed = vocabulary.encode(all_hashes, all_counts, places)
-    assert len(set(codes.tolist())) == len(codes)
-    first, second = codes[4096 + 70 : 4096 + 80], codes[4096 + 100 : 4096 + 110]
+    counts = 100000 - np.arange(30000)
+    vocabulary, told, others = vocabulary_of(counts, np.full(5000, 3))
+    ranks = [int(x) for k in range(lm.RARE) for x in (lm.Layout(vocabulary).first[k] + np.arange(2)) if x < 30000]
+    first = np.concatenate([ranks, vocabulary.codes(others[:8])]).astype(np.int32)
+    second = rng.permutation(first)
     pairs = np.stack([first, second], 1)
     model = lm.MaxEnt.start(vocabulary)
-    before = model.log10(pairs[0], np.array([0]))[1]
-    seen = np.zeros(len(model.upper)), np.zeros(len(model.lower))
-    for _ in range(300):
-        model.update(np.tile(pairs, (20, 1)).ravel(), np.arange(0, 400, 2), 1.0, seen)
-    for a, b in pairs:
-        assert model.log10(np.array([a, b]), np.array([0]))[1] > before + 2
-        assert model.log10(np.array([a, b]), np.array([0]))[1] > model.log10(np.array([a, second[0] if b != second[0] else second[1]]), np.array([0]))[1] + 1
-    text = np.stack([np.full(len(codes), pairs[0, 0]), codes], 1).ravel()
-    last = model.log10(text, np.arange(0, len(text), 2))[1::2] + fixed
-    assert (10.0**last).sum() == pytest.approx(1.0, abs=1e-3)
-
-
-def test_lm_places_are_dense():
-    """Places run from 0 in every bin over all tasks, and leave no gap where a ranked token was."""
-    place = np.array([((task * lm.TAIL + b) << 40) + k for task, b, n in ((0, 0, 3), (0, 2, 4), (3, 0, 2), (3, 2, 5)) for k in range(n)])
-    known = place[[1, 4, 12]]
-    found, sizes = np.unique(place >> 40, return_counts=True)
-    rest = np.setdiff1d(place, known)
-    got = lm.Places.start_of(found[::-1], sizes[::-1], known).find(rest)
-    for b in (0, 2):
-        own = (rest >> 40) % lm.TAIL == b
-        assert sorted(got[own]) == list(range(own.sum()))
-    assert lm.Places.start_of(found, sizes, known).find(np.array([-1])).tolist() == [-1]
+    before = np.array([after(model, [a], [b])[0] for a, b in pairs])
+    seen = [np.zeros(len(x)) for x in model.tables]
+    for _ in range(400):
+        model.update(np.tile(pairs, (20, 1)).ravel(), np.arange(0, 40 * len(pairs), 2), 0.7, seen, rng)
+    now = np.array([after(model, [a], [b])[0] for a, b in pairs])
+    assert (now > before + 1).mean() >= 0.9
+    assert np.mean([after(model, [a], [b])[0] > after(model, [a], [second[k - 1]])[0] for k, (a, b) in enumerate(pairs) if second[k - 1] != b]) >= 0.9
+
+
+def test_lm_finds_told_tokens():
+    rng = np.random.default_rng(6)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.arange(1 << 20, (1 << 20) + 300).astype(np.uint64)]))
+    hashes = rng.permutation(hashes)
+    told = hashes[:4000]
+    vocabulary = lm.Vocabulary(told, np.arange(4000)[::-1] + 1, np.zeros(1 << 16, int), np.zeros(1 << 16, int), 10**7, 4000, 0.5)
+    codes = vocabulary.codes(hashes)
+    assert codes[:4000].tolist() == list(range(4000)) and (codes[4000:] >= lm.OTHER).all()
 
 
 def test_lm_rounds_take_all_rows(spark):
-    hashes = np.arange(1, 4).astype(np.uint64)
-    vocabulary = lm.Vocabulary(hashes, np.arange(3), np.array([3, 2, 2]), 7, 3, np.zeros(lm.TAIL), np.zeros(lm.TAIL, int))
-    encoded = spark.createDataFrame([(1, [0, 1, 2, 0, 1, 2, 0])], "doc_id long, codes array<int>")
-    moved = [np.abs(lm.train(encoded, vocabulary, rounds).upper).sum() for rounds in (1, 2)]
-    assert moved[1] > 1.2 * moved[0] > 0
+    vocabulary, _, _ = vocabulary_of(np.array([30, 20, 20]), np.zeros(0, int))
+    encoded = spark.createDataFrame([(k, [0, 1, 2, 0, 1, 2, 0]) for k in range(10)], "doc_id long, codes array<int>").repartition(3)
+    moved = [[np.abs(x).sum() for x in lm.train(encoded, vocabulary, rounds=k).lower] for k in (0, 1, 2)]
+    assert moved[0][0] == 0 < moved[1][0] and 1.2 * moved[1][0] < moved[2][0]
+
+
+def test_lm_long_texts_and_few_told_tokens(spark):
+    """Texts of many steps; and with few told tokens, the rest find their counts by the join."""
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.choice((1, 30, 9000)))) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, k % 5 == 0) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    count = collections.Counter(w for k, t in enumerate(texts) if k % 5 for w in [*t.split(), None])
+    n, v = sum(count.values()), len(count)
+    for r in lm.score_documents(docs, told=16).collect():
+        own = [*texts[r.doc_id].split(), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel=1e-9)
+        assert math.isfinite(r.score) and r.score < 0
 
 
 # 9
