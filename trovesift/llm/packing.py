@@ -172,7 +172,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2,
         return pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), function, schema)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), function, schema, limit=1 << 20)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 500) -> DataFrame:
