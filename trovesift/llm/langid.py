@@ -9,13 +9,14 @@ whatever its length, without any array per document.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovesift.llm import textops
@@ -129,10 +130,10 @@ class LanguageModel:
         return labels.tolist(), np.clip(scores, 0, 1)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, regular: float = 1e-4) -> tuple[np.ndarray, float, float]:
-    """Pegasos with averaging (Shalev-Shwartz et al., 2007), classes weighted to be equal; then the slope of a logistic fit of its margins."""
+def _svm(x: np.ndarray, pool: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, regular: float = 1e-4) -> tuple[np.ndarray, float, float]:
+    """Pegasos with averaging (Shalev-Shwartz et al., 2007), classes weighted to be equal, on the rows `pool` of x; then the slope of a logistic fit of its margins."""
     rng = np.random.default_rng(seed)
-    n, d = x.shape
+    n, d = len(pool), x.shape[1]
     w, b, mean_w, mean_b, t, kept = np.zeros(d, np.float32), 0.0, np.zeros(d), 0.0, 0, 0
     weight = np.where(y > 0, n / max(1, 2 * (y > 0).sum()), n / max(1, 2 * (y < 0).sum()))
     size = 64
@@ -140,18 +141,20 @@ def _svm(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, regular: flo
         order = rng.permutation(n)
         for at in range(0, n, size):
             rows = order[at : at + size]
+            own = x[pool[rows]].astype(np.float32)
             t += 1
             rate = 1 / (regular * (t + 1000))
-            miss = y[rows] * (x[rows] @ w + b) < 1
+            miss = y[rows] * (own @ w + b) < 1
             push = np.where(miss, y[rows] * weight[rows], 0).astype(np.float32)
-            w = w * np.float32(1 - rate * regular) + np.float32(rate / len(rows)) * (push @ x[rows])
+            w = w * np.float32(1 - rate * regular) + np.float32(rate / len(rows)) * (push @ own)
             b += 0.01 * rate * float(push.mean())
             if epoch >= epochs // 2:
                 mean_w += w
                 mean_b += b
                 kept += 1
     w, b = mean_w / max(1, kept), mean_b / max(1, kept)
-    margins, slope = x @ w + b, 1.0
+    margins = np.concatenate([x[pool[k : k + size]].astype(np.float32) @ w + b for k in range(0, n, size)])
+    slope = 1.0
     for _ in range(50):  # Newton on the log loss of sigmoid(slope * margin)
         p = 1 / (1 + np.exp(-np.clip(slope * margins, -30, 30)))
         slope -= float(np.clip(((p - (y > 0)) * margins).sum() / max(1e-9, (p * (1 - p) * margins**2).sum()), -2, 2))
@@ -167,52 +170,58 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     languages = sorted({lang for _, lang in rows})
     families = sorted({family_of(x) for x in languages})
     pairs = [p for f in families for p in combinations([x for x in languages if family_of(x) == f], 2)]
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    x = np.zeros((len(rows), DIMENSIONS), np.float16)
+    mean = np.zeros(DIMENSIONS)
     for i, (text, _) in enumerate(rows):
         grams, _, _ = features(pa.array([text]))
         counts = sum(np.bincount(g, minlength=DIMENSIONS) for g in grams)
         counts[0] = 0
-        x[i] = counts / max(1, counts.sum())
-    scale = (1 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32)  # frequent n-grams don't drown the others
+        counts = counts / max(1, counts.sum())
+        mean += counts / len(rows)
+        x[i] = np.sqrt(counts)  # small shares keep their digits
+    scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)  # frequent n-grams don't drown the others
     scale[0] = 0
-    x *= scale
+    for i in range(len(rows)):
+        x[i] = x[i].astype(np.float32) ** 2 * scale
     lang = np.array([b for _, b in rows], object)
     family = np.array([family_of(b) for _, b in rows], object)
     fits = []
     if len(families) > 1:
         for k, f in enumerate(families):
-            fits.append(_svm(x, np.where(family == f, 1.0, -1.0), seed + k))
+            fits.append(_svm(x, np.arange(len(rows)), np.where(family == f, 1.0, -1.0), seed + k))
     elif families:
         fits.append((np.zeros(DIMENSIONS), 1.0, 8.0))
     for k, (a, b) in enumerate(pairs):
-        rows_of = (lang == a) | (lang == b)
-        fits.append(_svm(x[rows_of], np.where(lang[rows_of] == a, 1.0, -1.0), seed + 100 + k))
+        pool = np.flatnonzero((lang == a) | (lang == b))
+        fits.append(_svm(x, pool, np.where(lang[pool] == a, 1.0, -1.0), seed + 100 + k))
     weights = np.stack([w * scale for w, _, _ in fits], 1).astype(np.float32) if fits else np.zeros((DIMENSIONS, 0), np.float32)
     return LanguageModel(languages, families, pairs, weights, np.array([b for _, b, _ in fits]), np.array([s for _, _, s in fits]))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = 600) -> list[tuple[str, str]]:
-    """At most `per_language` labelled texts of each language, by the order of a seeded hash of the doc_id."""
-    rank = F.row_number().over(_by_language())
+def labelled_sample(docs: DataFrame, per_language: int = 600, languages: int = 256) -> DataFrame:
+    """(doc_id, lang, text): at most `per_language` labelled texts of each of the `languages` most frequent languages, by the order of a seeded hash of the doc_id."""
+    order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string").alias("text"), order.alias("order"))
     # A share of the rows is ranked, not all: enough of them to find the sample for sure, or all of a rare language.
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).alias("order"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
-        return []
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        share = min(1.0, (2 * per_language + 50) / n)
-        limit = F.when(F.col("lang") == lang, F.lit(int(share * (1 << 30)))).otherwise(limit)
-    chosen = labelled.where(F.col("order") <= limit).withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    picked = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = picked.select("doc_id", "text", "lang").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text or ""))]
+        return labelled.select("doc_id", "lang", "text").limit(0)
+    share = lambda n: int(min(1.0, (2 * per_language + 50) / n) * (1 << 30))
+    limit = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, share(r.n))))[F.col("lang")]
+    ranked = labelled.where(F.col("order") <= limit).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text")))
+    return ranked.where(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
 
-def _by_language():
-    from pyspark.sql import Window
+def fit(docs: DataFrame, per_language: int = 600, languages: int = 256) -> LanguageModel:
+    """The model of a labelled sample of `docs` (doc_id, text, lang), trained in a task; only the model comes to the driver."""
 
-    return Window.partitionBy("lang").orderBy("order", "doc_id")
+    def run(batches):
+        rows = sorted((r["doc_id"] is None, r["doc_id"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, lang) for _, _, text, lang in rows]))])], ["model"])
+
+    sample = labelled_sample(docs, per_language, languages).repartition(1)
+    found = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train([])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

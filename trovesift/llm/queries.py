@@ -15,8 +15,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovesift.llm import langid
 
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = langid.train(langid.labelled_sample(docs.where(~held_out)))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -73,7 +73,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovesift.llm import quality_clf
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    fold = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0
+    fold = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold(F.col("doc_id")))
     model = quality_clf.train(quality_clf.labelled_sample(docs, labels))
     return quality_clf.score_quality(docs, model).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
