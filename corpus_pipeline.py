@@ -11,7 +11,7 @@ from trovesift.llm import decontam, langid, ngram_join, packing, quality_rules,
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned, with a score of a half or more."""
-    model = langid.train(langid.labelled_sample(docs.select("doc_id", "text", "lang")))
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
     found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
 
@@ -23,16 +23,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    found = shared.materialize(ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, percent=80), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Where doc_ids are null or repeated, rows are told apart by their place, and the first one stays.
+    """
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        key = "_row"
+        rows = shared.materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = ngram_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "gone")
     if gone.count() <= ngram_join.TOLD_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = shared.materialize(stage(spark, docs, sf_dir), name)
+        before, since = docs, shared.made()
+        docs = shared.materialize(stage(spark, before, sf_dir), name)
+        shared.sweep(spark, since, docs)
+        shared.discard(before)
     return docs
 
 

@@ -14,7 +14,8 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from trovesift.llm import decontam, langid, lm, ngram_join, packing, quality_clf, quality_rules, queries, sharding, shared, token_counts, tokens, warc
+from trovesift.llm import decontam, langid, lm, ngram_join, packing, quality_clf, quality_rules, queries, sharding, shared, textops, token_counts, tokens, warc
+from trovesift.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -466,6 +467,40 @@ def test_jaccard_join_empty_and_null_ids(spark, odd, empty):
     assert len(rows) == len(odd_rows()) and {r.component_id for r in rows if r.doc_id in (4, 5, 6, 11)} <= {4, 6}
 
 
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_components_against_union_find(spark, few):
+    rnd = random.Random(3)
+    pairs = [(rnd.randint(-400, 400), rnd.randint(-400, 400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, 5000 + k) for k in range(300)] + [(7, 7)]
+    up = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(3), few=few).collect()
+    alone = {a for a, b in pairs if a == b} - {a for p in pairs if p[0] != p[1] for a in p}
+    assert {tuple(r) for r in got} == {(a, root(a)) for a in up if a not in alone} and len(got) == len(up) - len(alone)
+    assert connected_components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+
+
+def test_span_hashes_depend_on_bytes_only():
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 1, 2, 7, 8, 9, 15, 16, 17, 40, 255, 256, 257, 3000) for _ in range(20)]
+    words += [w + b"a" for w in words] + words
+
+    def hashes(rows):
+        ends = np.cumsum([len(w) for w in rows])
+        return textops.span_hashes(np.frombuffer(b"".join(rows), np.uint8), ends - [len(w) for w in rows], ends)
+
+    found = hashes(words)
+    assert found.tolist() == [int(hashes([w])[0]) for w in words]
+    assert len(set(found.tolist())) == len(set(words))
+
+
 def test_divide_skip_forest_spans_all_links():
     rng = np.random.default_rng(8)
     for _ in range(30):

@@ -10,7 +10,7 @@ def test_pipeline_against_brute_force(spark, data):
     from trovesift.llm import langid, packing, quality_rules, shared
 
     docs = shared.documents(spark, data)
-    model = langid.train(langid.labelled_sample(docs))
+    model = langid.fit(docs)
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     kept = {r.doc_id: r.text for r in langid.identify(docs, model).collect() if r.lang_pred != "und" and r.score >= 0.5}
     cleaned = {r.doc_id: r.cleaned_text for r in quality_rules.clean_documents(docs).collect() if r.kept and r.doc_id in kept}
@@ -45,6 +45,23 @@ def test_near_duplicates_by_five_words_at_four_fifths(spark, data):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()} == {d for d in groups if groups[d][1] == d} == {0, 2, 3}
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark, data):
+    """Other texts under one doc_id stay, copies go, whatever their ids."""
+    text = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(4)]
+    rows = [(7, text[0]), (7, text[1]), (7, text[1]), (None, text[2]), (None, text[2]), (8, text[0]), (9, None), (9, None), (10, ""), (None, text[3])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()]
+    assert sorted(t for _, t in got if t) == sorted(text) and len(got) == 4 + 3
+
+
+def test_run_leaves_one_table(spark, data):
+    from trovesift.llm import shared
+
+    since = shared.made()
+    out = corpus_pipeline.run(spark, data)
+    assert shared._MADE[since:] == [out._scratch] and out.count()
+
+
 def test_stages_keep_columns_and_empty_tables(spark, data):
     from trovesift.llm import shared
 

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker turns into arrays at once; bounds its memory, never what it covers.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 1 << 18
+#: Paths that `scratch` has given, for `sweep`.
+_MADE: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,7 +26,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def made() -> int:
+    """How many paths `scratch` has given so far."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete what `scratch` has given since `made()` was `since`, but for the table `keep`."""
+    for path in _MADE[since:]:
+        if path != keep._scratch:
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +63,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by `materialize` once nothing reads it."""
     path = getattr(df, "_scratch", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +90,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         start = stop
 
 
-def map_slices(df: DataFrame, function: Callable, schema, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, function: Callable, schema, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """`mapInArrow` with `function(RecordBatch) -> RecordBatch | None` on slices of bounded size."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 out = function(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -116,4 +136,5 @@ def most_frequent(counted: DataFrame, key: str, count: str, most: int) -> list[t
         seen += n
         if seen >= most:
             break
-    return [tuple(r) for r in counted.where(size >= least).orderBy(F.desc(count), key).limit(most).select(key, count).collect()]
+    top = counted.where(size >= least).orderBy(F.desc(count), key).limit(most).select(key, count).toArrow()
+    return list(zip(*(c.to_pylist() for c in top.columns), strict=True))
