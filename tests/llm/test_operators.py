@@ -156,6 +156,38 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert dict(used) == counts and sum(n for _, n in plan) == best[0]
 
 
+def test_bin_completion_beats_best_fit_on_thousands_of_pieces():
+    """The search reaches whole packings, and the best of them is the result."""
+    rnd = random.Random(1)
+    for number, low, high in ((60, 100, 500), (5000, 300, 600), (30000, 150, 500)):
+        counts = dict(collections.Counter(rnd.randint(low, high) for _ in range(number)))
+        seen = []
+        plan = packing.bin_completion(counts, 1024, seen=seen)
+        used = collections.Counter()
+        for filling, n in plan:
+            assert sum(a * b for a, b in filling) <= 1024
+            for a, b in filling:
+                used[a] += b * n
+        assert dict(used) == counts
+        assert len(seen) > 1 and sum(n for _, n in plan) == min(seen) < seen[0] and min(seen) >= packing.least_bins(counts, 1024)
+
+
+def test_fillings_are_undominated():
+    rnd = random.Random(2)
+    for _ in range(40):
+        counts = dict(collections.Counter(rnd.randint(1, 20) for _ in range(12)))
+        every = list(packing.fillings(counts, 24, looks=10**6))
+        wastes = [24 - sum(x * n for x, n in f) for f in every]
+        assert wastes == sorted(wastes) and all(f[0][0] == max(counts) for f in every) and len({tuple(f) for f in every}) == len(every)
+        for f, waste in zip(every, wastes, strict=True):
+            left = collections.Counter(counts)
+            left.subtract(dict(f))
+            assert all(x > waste for x, n in left.items() if n > 0)  # nothing more would fit
+            rest = [x for x, n in f for _ in range(n)][1:]
+            assert not any(x < y <= x + waste for x in rest for y, n in left.items() if n > 0)
+            assert not any(0 <= y - a - b <= waste for k, a in enumerate(rest) for b in rest[:k] for y, n in left.items() if n > 0)
+
+
 # 3
 
 

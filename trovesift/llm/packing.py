@@ -4,16 +4,17 @@ Korf, "A New Algorithm for Optimal Bin Packing" (2002). Pieces of one length are
 so the search works on the counts of lengths, of which there are at most `capacity`,
 whatever the size of the corpus. A best-fit packing is the first incumbent; the search
 fills the sequence around the largest piece left by undominated fillings, least waste
-first, each as often as its lengths last, and prunes by the bound on waste. It ends
-once the incumbent meets the bound, or after `nodes` fillings; the incumbent is always
-a whole packing. The pieces are then numbered within their length, in buckets, and find
-their place by a join with the plan, which has some thousand rows at most.
+first, each as often as its lengths last, and prunes by bounds on waste. It ends once the
+incumbent meets the bound, or after `dives` ways down; the incumbent is always a whole
+packing. The pieces are then numbered within their length, in buckets, and find their
+place by a join with the plan, which has some thousand rows at most.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,91 +57,133 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [(filling, bins) for rows in open_.values() for filling, bins in rows]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], first: int, capacity: int, most: int = 32, steps: int = 2000) -> list[Filling]:
-    """Undominated fillings around one `first`, least waste first.
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on bins, L2 of Martello and Toth (1990): no two pieces above half share a bin, and none of at least `a` goes beside one above capacity - a."""
+    number, total = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for length, n in counts.items():
+        number[length], total[length] = n, n * length
+    number, total = np.cumsum(number), np.cumsum(total)
+    half = capacity // 2
+    a = np.arange(half + 1)
+    below = np.maximum(a - 1, 0)
+    alone, large = number[capacity] - number[capacity - a], number[capacity - a] - number[half]
+    beside = total[half] - np.where(a > 0, total[below], 0)
+    spare = large * capacity - (total[capacity - a] - total[half])
+    return int((alone + large + np.maximum(0, -(-(beside - spare) // capacity))).max())
 
-    A filling that leaves room for a piece that is left is dominated by the one with it,
-    and one with the same room that swaps a piece for shorter ones of the same sum comes later.
+
+def dominated(filling: Filling, counts: dict[int, int], waste: int) -> bool:
+    """Whether a piece that is left fits beside the filling's pieces, or in place of one or more of them (but the largest)."""
+    free = 0
+    for x, n in counts.items():
+        if n > sum(m for y, m in filling if y == x):
+            free |= 1 << x
+    if free & ((1 << (waste + 1)) - 1):
+        return True
+    one = many = 0  # sums of one piece or more, and of two or more
+    for k, (x, n) in enumerate(filling):
+        for _ in range(n - (k == 0)):
+            many |= (many | one) << x
+            one |= (one << x) | (1 << x)
+    if any((many << d) & free for d in range(waste + 1)):
+        return True
+    return any((free >> (x + 1)) & ((1 << waste) - 1) for k, (x, n) in enumerate(filling) if n > (k == 0))
+
+
+def fillings(counts: dict[int, int], capacity: int, looks: int = 48) -> Iterator[Filling]:
+    """Undominated fillings around the largest piece, least waste first, and those of longer pieces first among equals.
+
+    Sums that can be reached from each length on are kept as bits of a number, so no
+    branch is entered that ends elsewhere. So many fillings are looked at; if all of them
+    are dominated, the first is given.
     """
-    out: list[tuple[int, tuple, Filling]] = []
-    budget = [steps]
+    lengths = sorted((x for x in counts if counts[x]), reverse=True)
+    first = lengths[0]
+    room = capacity - first
+    usable = [(x, min(counts[x] - (x == first), room // x)) for x in lengths if x <= room]
+    usable = [(x, n) for x, n in usable if n]
+    sums, mask = [1] * (len(usable) + 1), (1 << (room + 1)) - 1
+    for k in range(len(usable) - 1, -1, -1):
+        x, n = usable[k]
+        bits, step = sums[k + 1], 1
+        while n:  # so many copies, doubled up
+            step = min(step, n)
+            bits |= (bits << (x * step)) & mask
+            n, step = n - step, 2 * step
+        sums[k] = bits
 
-    def extend(at: int, room: int, filling: Filling) -> None:
-        budget[0] -= 1
-        k = at
-        while k < len(lengths) and lengths[k] > room:
-            k += 1
-        if k == len(lengths) or budget[0] <= 0:
-            if room < min((x for x in lengths if counts[x] > sum(n for y, n in filling if y == x)), default=room + 1):
-                out.append((room, tuple(-x for x, _ in filling), filling))
+    def reach(k: int, rest: int, filling: Filling) -> Iterator[Filling]:
+        if not rest:
+            yield filling
             return
-        for j in range(k, len(lengths)):
-            x = lengths[j]
-            for n in range(min(room // x, counts[x] - (x == first)), 0, -1):
-                if budget[0] <= 0 and out:
-                    return
-                extend(j + 1, room - n * x, [*filling, (x, n)])
-            if out and min(out)[0] == 0 and len(out) >= most:
+        while k < len(usable) and usable[k][0] > rest:
+            k += 1
+        for j in range(k, len(usable)):
+            if not (sums[j] >> rest) & 1:
                 return
+            x, n = usable[j]
+            for m in range(min(n, rest // x), 0, -1):
+                if (sums[j + 1] >> (rest - m * x)) & 1:
+                    yield from reach(j + 1, rest - m * x, [*filling, (x, m)])
 
-    extend(0, capacity - first, [])
-    out.sort(key=lambda x: x[:2])
-    unique, seen = [], set()
-    for _, _, filling in out:
-        whole: dict[int, int] = {first: 1}
-        for x, n in filling:
-            whole[x] = whole.get(x, 0) + n
-        row = sorted(whole.items(), reverse=True)
-        if tuple(row) not in seen:
-            seen.add(tuple(row))
-            unique.append(row)
-    return unique[:most] or [[(first, 1)]]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 500) -> list[tuple[Filling, int]]:
-    """The packing with the fewest bins found: [(filling, how often)]."""
+    def whole() -> Iterator[tuple[int, Filling]]:
+        for total in range(sums[0].bit_length() - 1, -1, -1):
+            if (sums[0] >> total) & 1:
+                for found in reach(0, total, []):
+                    filling = {first: 1}
+                    for x, n in found:
+                        filling[x] = filling.get(x, 0) + n
+                    yield room - total, sorted(filling.items(), reverse=True)
+
+    first_seen, none = None, True
+    for waste, filling in islice(whole(), looks):
+        first_seen = first_seen or filling
+        if not dominated(filling, counts, waste):
+            none = False
+            yield filling
+    if none:
+        yield first_seen
+
+
+def bin_completion(counts: dict[int, int], capacity: int, dives: int = 4, seen: list[int] | None = None) -> list[tuple[Filling, int]]:
+    """The packing with the fewest bins found: [(filling, how often)]. `seen` gets the bins of each whole packing.
+
+    Best fit gives the first incumbent. Each dive then fills the sequence around the
+    largest piece left, by the first of its fillings, as often as its lengths last, down
+    to a whole packing, or until the bound says that it can't beat the incumbent. The
+    first dive takes the first fillings all the way; later ones take the second at one
+    place (limited discrepancy search), first where most is left. `dives` bounds them.
+    """
     counts = {x: n for x, n in counts.items() if n}
-    bound = lambda left, waste: -(-(left + waste) // capacity)
     best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
-    total = sum(x * n for x, n in counts.items())
-    if fewest <= bound(total, 0):
-        return best
-
-    def children(state: dict[int, int]) -> Iterator[tuple[Filling, int]]:
-        lengths = sorted((x for x in state if state[x]), reverse=True)
-        for filling in fillings(state, lengths, lengths[0], capacity):
-            yield filling, min(state[x] // n for x, n in filling)
-
-    state, waste, bins, path = dict(counts), 0, 0, []
-    stack = [children(state)]
-    while stack and nodes > 0:
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if path:
-                filling, times = path.pop()
-                for x, n in filling:
-                    state[x] += n * times
-                bins -= times
-                waste -= times * (capacity - sum(x * n for x, n in filling))
-            continue
-        nodes -= 1
-        filling, times = step
-        lost = times * (capacity - sum(x * n for x, n in filling))
-        if bound(total, waste + lost) >= fewest:
-            continue
-        for x, n in filling:
-            state[x] -= n * times
-        bins, waste = bins + times, waste + lost
-        path.append((filling, times))
-        if not any(state.values()):
-            best, fewest = list(path), bins
-            if fewest <= bound(total, 0):
+    fewest, least = sum(n for _, n in best), least_bins(counts, capacity)
+    if seen is not None:
+        seen.append(fewest)
+    depth = 1
+    for dive in range(dives):
+        if fewest <= least or dive > depth:
+            break
+        state, bins, path, left = dict(counts), 0, [], sum(x * n for x, n in counts.items())
+        while left and bins + -(-left // capacity) < fewest:
+            found = fillings(state, capacity)
+            filling = next(found)
+            if len(path) + 1 == dive:
+                filling = next(found, filling)
+            times = min(state[x] // n for x, n in filling)
+            for x, n in filling:
+                state[x] -= n * times
+                left -= x * n * times
+            state = {x: n for x, n in state.items() if n}
+            bins += times
+            path.append((filling, times))
+            if len(path) % 16 == 0 and bins + least_bins(state, capacity) >= fewest:
                 break
-            stack.append(iter(()))
-        else:
-            stack.append(children(state))
+        depth = max(depth, len(path)) if not dive else depth
+        if not left:
+            if seen is not None:
+                seen.append(bins)
+            if bins < fewest:
+                best, fewest = path, bins
     return best
 
 
@@ -175,7 +218,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2,
     return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), function, schema, limit=1 << 20)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 500) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, dives: int = 4) -> DataFrame:
     """`pieces` (doc_id, piece, length from 1 to capacity, ...) with sequence_id and offset (both long).
 
     Give it a table that reads the same each time (`materialize`): it is read twice.
@@ -184,7 +227,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 500) -> Da
     spark = pieces.sparkSession
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, used, first = [], dict.fromkeys(counts, 0), 0
-    for filling, bins in bin_completion(counts, capacity, nodes):
+    for filling, bins in bin_completion(counts, capacity, dives):
         offset = 0
         for length, n in filling:
             plan.append((length, used[length], used[length] + n * bins, first, n, offset))
@@ -210,11 +253,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 500) -> Da
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, nodes: int = 500) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, dives: int = 4) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of `docs` (doc_id, text, ...).
 
     A null or empty text is one piece of the end id alone. Repeated rows are packed as
     often as they occur, null doc_ids too; extra columns are ignored; an empty table
     gives an empty result.
     """
-    return pack_pieces(materialize(token_pieces(docs, path, capacity, end), "pieces"), capacity, nodes)
+    return pack_pieces(materialize(token_pieces(docs, path, capacity, end), "pieces"), capacity, dives)
