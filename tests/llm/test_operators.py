@@ -240,10 +240,49 @@ def test_ledger(spark):
     assert {tuple(r) for r in ledger.totals().collect()} == {("a", "en", "v1", 1, 9), (None, None, "v1", 1, 5), ("b", "de", "v1", 1, 0)}
 
 
+def test_ledger_ignores_what_is_not_committed(spark):
+    """A batch whose marker is missing, or was never filled, counts for nothing and can be committed again."""
+    path = shared.scratch(spark, "ledger")
+    ledger = token_counts.Ledger(spark, path)
+    rows = spark.createDataFrame([("a", "en", "v1", 1, 3)], "source string, lang string, tokenizer_version string, sign int, n_tokens long")
+    assert ledger.commit("1", rows)
+    name = ledger._named("1")
+    ledger.files.delete(ledger._at("commits", "1"), False)
+    assert ledger.totals().count() == 0 and not ledger.committed("1")
+    ledger.files.create(ledger._at("commits", "1"), False).close()
+    assert not ledger.committed("1") and ledger.totals().count() == 0
+    assert ledger.commit("1", rows) and not ledger.commit("1", rows) and ledger._named("1") != name
+    assert not ledger._mark("1", "other") and token_counts.Ledger(spark, path).totals().first().n_tokens == 3
+
+
 def test_bpe_counts(spark, odd):
-    want = tokens.BpeEncoder.load(TOKENIZER).encoding
-    for r in token_counts.bpe_counts(odd, TOKENIZER).collect():
-        assert r.n_tokens == len(want.encode_ordinary(r.text or ""))
+    files = {"a": TOKENIZER, "b": pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken")}
+    for r in token_counts.bpe_counts(odd.withColumn("a", F.lit("clash")), files).collect():
+        for name, path in files.items():
+            assert r[name] == len(tokens.BpeEncoder.load(path).encoding.encode_ordinary(r.text or ""))
+
+
+def test_query_token_counts_against_brute_force(spark, data):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in shared.documents(spark, data).collect():
+        n = len(plain.encode(r.text or "", add_special_tokens=False).ids)
+        if n >= 10:
+            for version, c in (("byte_bpe_50k", n), ("byte_bpe_multi_50k", len(multi.encode_ordinary(r.text or "")) + 1)):
+                own = want[r.source, r.lang, version]
+                own[0] += 1
+                own[1] += c
+    got = queries.op5_token_counts(spark, data).collect()
+    assert {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in got} == dict(want) and len(got) == len(want)
 
 
 # 6

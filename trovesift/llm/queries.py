@@ -48,23 +48,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents by two tokenizers, one's counts revised, and short documents deleted."""
+    """Totals after four batches: all documents by two tokenizers, one's counts revised by the end id, and documents of under ten tokens deleted.
+
+    Texts are read and counted once; revisions and deletes come from the stored counts.
+    """
+    import public_tokenizers
+
     from trovesift.llm import token_counts as tc
-    from trovesift.llm.shared import scratch
+    from trovesift.llm.shared import materialize, scratch
 
-    docs = documents(spark, sf_dir)
-    count = lambda name: tc.token_count(F.col("text"), tc.PATTERNS[name])
+    versions = {"byte_bpe_50k": "byte_bpe_50k.json", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+    docs = documents(spark, sf_dir).select("source", "lang", "text")
+    counted = materialize(tc.bpe_counts(docs, {name: public_tokenizers.path(file) for name, file in versions.items()}).drop("text"), "counted")
     of = lambda df, version, n: df.select("source", "lang", F.lit(version).alias("tokenizer_version"), n.alias("n_tokens"))
+    plain, multi = versions
     ledger = tc.Ledger(spark, scratch(spark, "ledger"))
-    first = tc.inserts(of(docs, "words-1", count("words-1")))
-    ledger.commit("0-words", first)
-    ledger.commit("1-pieces", tc.inserts(of(docs, "pieces", count("pieces-1"))))
-    both = docs.select("source", "lang", F.lit("pieces").alias("tokenizer_version"), count("pieces-1").alias("was"), count("pieces-2").alias("now"))
-    ledger.commit("2-revised", tc.revised(both, "was", "now"))
-    short = docs.where("n_chars < 40")
-    gone = tc.deletes(of(short, "words-1", count("words-1"))).unionByName(tc.deletes(of(short, "pieces", count("pieces-2"))))
-    ledger.commit("3-short", gone)
-    ledger.commit("0-words", first)  # a batch that comes twice counts once
+    first = tc.inserts(of(counted, plain, F.col(plain)))
+    ledger.commit("0-plain", first)
+    ledger.commit("1-multi", tc.inserts(of(counted, multi, F.col(multi))))
+    ended = counted.select("source", "lang", F.lit(multi).alias("tokenizer_version"), F.col(multi).alias("was"), (F.col(multi) + 1).alias("now"))
+    ledger.commit("2-ended", tc.revised(ended, "was", "now"))
+    short = counted.where(F.col(plain) < 10)
+    ledger.commit("3-short", tc.deletes(of(short, plain, F.col(plain))).unionByName(tc.deletes(of(short, multi, F.col(multi) + 1))))
+    ledger.commit("0-plain", first)  # a batch that comes twice counts once
     return ledger.totals()
 
 
@@ -136,6 +142,6 @@ LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    from trovesift.llm import decontam, quality_rules, token_counts
+    from trovesift.llm import decontam, quality_rules
 
-    return {"op5_token_counts": token_counts.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}

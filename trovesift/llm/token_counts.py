@@ -5,42 +5,34 @@ and tokenizer version: an insert adds a document and its tokens, a delete takes
 away, a revision takes the old count away and adds the new one. Totals are the sums over
 all committed batches, so nothing is counted again when documents change.
 
-A batch is written aside and then renamed to its id, once: committing an id again, by a
-retry or a second run, changes nothing.
+A batch is written under a fresh name, and counts once a marker with its id names it. A
+marker can be created only once, so committing an id again, by a retry or a second run,
+changes nothing, and what a failed run has written counts for nothing.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTAS = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
 
-# Counters of tokenizer versions, as patterns of one token each.
-PATTERNS = {
-    "words-1": r"[^\x20\x09-\x0D]+",
-    "pieces-1": r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+",
-    "pieces-2": r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
-}
 
-
-def token_count(text: Column, pattern: str) -> Column:
-    """Tokens of a text; null has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
-
-
-def bpe_counts(docs: DataFrame, path: str) -> DataFrame:
-    """`docs` (text, ...) with n_tokens by a tokenizer file, in place of a pattern."""
+def bpe_counts(docs: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """`docs` (text, ...) with a count of tokens by each tokenizer file: column name to path. One scan; null texts have none; columns of these names are replaced."""
     import numpy as np
     import pyarrow as pa
 
     from trovesift.llm.shared import map_beside
     from trovesift.llm.tokens import BpeEncoder
 
-    return map_beside(docs, lambda texts: [pa.array(np.diff(BpeEncoder.load(path).encode(texts)[1]), pa.int64())], "n_tokens long")
+    count = lambda path, texts: pa.array(np.diff(BpeEncoder.load(path).encode(texts)[1]), pa.int64())
+    added = ", ".join(f"{name} long" for name in paths)
+    return map_beside(docs.withColumn("text", F.col("text").cast("string")), lambda texts: [count(path, texts) for path in paths.values()], added)
 
 
 def inserts(counted: DataFrame) -> DataFrame:
@@ -77,8 +69,18 @@ class Ledger:
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
+    def _named(self, batch_id: str) -> str | None:
+        """The data that a batch's marker names."""
+        if not self.files.exists(self._at("commits", batch_id)):
+            return None
+        stream = self.files.open(self._at("commits", batch_id))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def committed(self, batch_id: str) -> bool:
-        return self.files.exists(self._at("batches", f"batch={batch_id}", "_SUCCESS"))
+        return bool(self._named(batch_id))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add the sums of `changes` (sign, n_tokens, KEYS) under `batch_id`; False if that id is committed already.
@@ -89,30 +91,30 @@ class Ledger:
             return False
         signed = F.coalesce(F.col("n_tokens"), F.lit(0)) * F.col("sign")
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("d_docs"), F.sum(signed).cast("long").alias("d_tokens"))
-        aside = self._at("staging", uuid.uuid4().hex)
-        sums.coalesce(1).write.parquet(str(aside.toString()))  # a few groups, summed by then
-        self.files.mkdirs(self._at("batches"))
-        if self.files.exists(self._at("batches", f"batch={batch_id}")) or not self.files.rename(aside, self._at("batches", f"batch={batch_id}")):
-            self.files.delete(aside, True)
+        name = uuid.uuid4().hex
+        sums.coalesce(16).write.parquet(f"{self.path}/data/{name}")
+        return self._mark(batch_id, name)
+
+    def _mark(self, batch_id: str, name: str) -> bool:
+        """Create the marker, unless there is one; an empty one, of a driver lost in between, is taken over."""
+        marker = self._at("commits", batch_id)
+        if self.files.exists(marker) and not self._named(batch_id):
+            self.files.delete(marker, False)
+        try:
+            stream = self.files.create(marker, False)
+        except Py4JJavaError:
+            self.files.delete(self._at("data", name), True)
             return False
+        stream.write(bytearray(name.encode()))
+        stream.close()
         return True
 
     def totals(self) -> DataFrame:
-        """(KEYS, n_docs, n_tokens) over all batches; groups without documents and tokens are gone."""
-        if not self.files.exists(self._at("batches")):
+        """(KEYS, n_docs, n_tokens) over all committed batches; groups without documents and tokens are gone."""
+        found = self.files.listStatus(self._at("commits")) if self.files.exists(self._at("commits")) else []
+        names = [x for x in (self._named(f.getPath().getName()) for f in found) if x]
+        if not names:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
-        deltas = self.spark.read.schema(DELTAS).option("recursiveFileLookup", True).parquet(f"{self.path}/batches")
+        deltas = self.spark.read.schema(DELTAS).parquet(*(f"{self.path}/data/{x}" for x in names))
         sums = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
-
-
-ORACLE_SQL = r"""
-WITH counted AS (
-  SELECT source, lang, n_chars,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-    len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\s\p{L}\p{N}]+')) AS pieces
-  FROM documents WHERE n_chars IS NULL OR n_chars >= 40)
-SELECT source, lang, v AS tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM (SELECT source, lang, 'words-1' AS v, words AS n FROM counted UNION ALL SELECT source, lang, 'pieces', pieces FROM counted)
-GROUP BY source, lang, v
-"""

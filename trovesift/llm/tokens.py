@@ -1,4 +1,4 @@
-"""Byte-level BPE token ids of whole Arrow batches, exactly as the tokenizer's own file defines them.
+"""Byte-level BPE token ids of whole Arrow batches, exactly as the tokenizer's own file (JSON, or ranks in base64) defines them.
 
 Texts are cut into pre-tokens by array operations on code points, equal pre-tokens of a
 worker are encoded once, and the ids of each text are put together by gathers.
@@ -6,6 +6,7 @@ worker are encoded once, and the ids of each text are put together by gathers.
 
 from __future__ import annotations
 
+import base64
 import json
 import unicodedata
 
@@ -30,18 +31,22 @@ def _classes() -> np.ndarray:
 
 
 class BpeEncoder:
-    """Encodes with the vocabulary of a `tokenizers` JSON file of byte-level BPE."""
+    """Encodes with the vocabulary of a `tokenizers` JSON file of byte-level BPE, or of a `.tiktoken` file of ranks."""
 
     _kept: dict[str, BpeEncoder] = {}
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        of_char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(of_char[c] for c in token): i for token, i in vocabulary.items() if all(c in of_char for c in token) and token != "<|endoftext|>"}
+        if path.endswith(".tiktoken"):
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+        else:
+            with open(path, encoding="utf-8") as file:
+                vocabulary = json.load(file)["model"]["vocab"]
+            plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            of_char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+            ranks = {bytes(of_char[c] for c in token): i for token, i in vocabulary.items() if all(c in of_char for c in token) and token != "<|endoftext|>"}
         self.encoding = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.newline = self.encoding.encode_ordinary("\n")[0]
         self.classes = _classes()
