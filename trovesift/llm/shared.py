@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +92,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         start = stop
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(df: DataFrame, function: Callable, schema, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """`mapInArrow` with `function(RecordBatch) -> RecordBatch | None` on slices of bounded size."""
 
@@ -99,6 +108,7 @@ def map_slices(df: DataFrame, function: Callable, schema, column: str = "text",
                 out = function(part)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
