@@ -3,7 +3,8 @@
 Pass one scatters the records by a seeded hash, uniformly, into buckets that fit in
 memory; each bucket is put in a random order by Fisher-Yates (Spark's ``shuffle``) and
 written into its shard's folder. Pass two counts the written buckets, which gives each
-record its slot: the bucket's start in the shard plus its place in the bucket.
+record its slot: the bucket's start in the shard plus its place in the bucket. Texts are
+shuffled once.
 
 The law is ``key``: a record's shard is the highest of its doc_id's hashes with each
 shard's number (rendezvous hashing), so one shard more takes records only into itself.
@@ -18,6 +19,8 @@ from trovesift.llm.shared import scratch
 
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 8 << 20
+#: A task for each bucket, up to so many; and so many buckets' starts (40 bytes each) may be broadcast, more are joined by a shuffle.
+MOST_TASKS, TOLD_ROWS = 100_000, 500_000
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -46,7 +49,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20260, key
         F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), row), F.lit(buckets)).alias("_bucket"),
         F.struct(F.xxhash64(F.lit(seed + 2), F.col(key), row).alias("_order"), *docs.columns).alias("_row"),
     )
-    gathered = scattered.repartition("shard", "_bucket").groupBy("shard", "_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    gathered = scattered.repartition(min(shards * buckets, MOST_TASKS), "shard", "_bucket").groupBy("shard", "_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     mixed = gathered.withColumn("_rows", F.shuffle("_rows", F.lit(seed + 3)))
     placed = mixed.select("shard", "_bucket", F.posexplode("_rows").alias("_place", "_row"))
     placed.select("shard", "_bucket", "_place", *(F.col("_row")[c].alias(c) for c in docs.columns)).write.partitionBy("shard").option("compression", "zstd").parquet(path)
@@ -56,6 +59,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20260, key
     sizes = written.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    if shards * buckets <= TOLD_ROWS:
+        starts = F.broadcast(starts)
     return (
         written.join(starts, ["shard", "_bucket"])
         .withColumn("law", F.lit("key"))
