@@ -205,6 +205,22 @@ def test_sharding(spark, data, odd, empty):
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
 
 
+def test_query_sharding_against_brute_force(spark, data):
+    docs = {r.doc_id: (r.text or "").encode() for r in shared.documents(spark, data).collect()}
+    rows = queries.op3_sharding(spark, data).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {d: (len(t) + 1, zlib.crc32(t)) for d, t in docs.items()} and len(rows) == len(docs)
+    assert {r.law for r in rows} == {"key"} and {r.shard for r in rows} == set(range(8))
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert all(r.grown_shard in (r.shard, 8) for r in rows) and any(r.grown_shard == 8 for r in rows)
+
+
+def test_sharding_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "x", 5, 9) for k in range(50)], "doc_id long, text string, law string, slot int, _bucket int")
+    out = sharding.shuffle_into_shards(docs, 2)
+    assert set(out.columns) == {"doc_id", "text", "law", "shard", "grown_shard", "slot"} and {r.law for r in out.collect()} == {"key"}
+
+
 # 4
 
 
@@ -617,5 +633,15 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, path, manifest).count() == 0
 
 
-def test_query_warc(spark, data):
-    assert queries.op10_warc(spark, data).count() == spark.read.parquet(f"{data}/pages.parquet").count()
+def test_query_warc_against_brute_force(spark, data):
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    first = {}
+    for page in sorted(pages):
+        first.setdefault(pages[page], page)
+    want = set()
+    for page, payload in pages.items():
+        response = first[payload]
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        want.add((page, len(payload), digest, "response" if page == response else "revisit", None if page == response else response))
+    got = [tuple(r) for r in queries.op10_warc(spark, data).collect()]
+    assert set(got) == want and len(got) == len(pages)

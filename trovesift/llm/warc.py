@@ -31,6 +31,8 @@ URN = "urn:trovesift:page:"
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
 #: So many revisits (two numbers each) may be broadcast; beyond it they are joined by a shuffle.
 TOLD_ROWS = 500_000
+#: A task for each bundle that is read, up to so many.
+MOST_TASKS = 10_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -120,6 +122,18 @@ def read_record(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str],
     return headers, block
 
 
+def frames(files, path: str):
+    """The frames of a bundle one after another; one at a time is in memory."""
+    import zstandard
+
+    with files.open_input_file(path) as file:
+        size = file.size()
+        count = struct.unpack("<IBI", file.read_at(9, size - 9))[0]
+        tail = file.read_at(9 + 8 * count, size - 9 - 8 * count)
+        for start, packed, whole in seek_table(tail):
+            yield zstandard.ZstdDecompressor().decompress(file.read_at(packed, start), max_output_size=whole)
+
+
 def _open(address: str):
     from pyarrow import fs
 
@@ -179,22 +193,20 @@ def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-
 def read_archives(spark, path: str, manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all records of the manifest's bundles; a revisit's payload is null."""
     names = manifest.select("bundle").distinct()
-    if names.isEmpty():
+    count = names.count()
+    if not count:
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
-    files = files.select(F.regexp_extract("path", r"([0-9a-f]+)\.warc\.zst$", 1).alias("bundle"), "content")
-    wanted = files.join(names, "bundle", "left_semi").select("content")
 
     def number(text: str | None):
         tail = text.rstrip(">").rpartition(":")[2] if text else "null"
         return None if tail == "null" else int(tail)
 
     def run(batches):
+        files, root = _open(path)
         for batch in batches:
-            for value in batch.column(0):
-                bundle = value.as_buffer().to_pybytes()
-                for k in range(len(seek_table(bundle))):
-                    frame, at, out = read_frame(bundle, k), 0, []
+            for name in batch.column(0).to_pylist():
+                for frame in frames(files, f"{root}/{name}.warc.zst"):
+                    at, out = 0, []
                     while at < len(frame):
                         headers, block, at = parse(frame, at)
                         head, _, body = block.partition(b"\r\n\r\n")
@@ -207,4 +219,5 @@ def read_archives(spark, path: str, manifest: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return wanted.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    dealt = names.repartition(min(count, MOST_TASKS))  # tasks open the bundles they are told, so no content is shuffled
+    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
