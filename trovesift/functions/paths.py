@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Kinds of files by extension.
 KINDS = {
-    "text": "txt log csv tsv ini cfg conf properties yaml yml toml json jsonl ndjson xml html htm css scss less svg rtf doc docx odt tex bib env sh bash zsh diff patch plist xlsx xls pptx ppt numbers pages key lock bat cmd",
-    "code": "c h cpp cxx cc hpp m mm swift rs go py pyi js jsx mjs ts tsx java kt scala groovy gradle cs fs rb php pl pm lua r jl hs ex exs erl clj ml dart zig nim asm s sql graphql proto thrift glsl tf nix el lisp f90 pas vhd",
+    "text": "txt log csv tsv ini cfg conf config properties yaml yml toml json json5 jsonl ndjson xml xsl xslt xsd html htm xhtml css scss sass less styl svg rtf rst adoc asciidoc textile org wiki latex avsc doc docx odt tex bib env sh bash zsh diff patch plist xlsx xls pptx ppt numbers pages key lock bat cmd",
+    "code": "c h cpp cxx cc hpp hxx hh ipp inl cjs vue svelte csx fsx fsi vb kts sc cljs cljc edn d v pyw rbw t phps tcl rmd hrl lhs mli sml scm rkt cl gql erb hbs handlebars mustache jinja jinja2 ejs liquid m mm swift rs go py pyi js jsx mjs ts tsx java kt scala groovy gradle cs fs rb php pl pm lua r jl hs ex exs erl clj ml dart zig nim asm s sql graphql proto thrift glsl tf nix el lisp f90 pas vhd",
     "markdown": "md mdx markdown mdown mkd mkdn",
     "pdf": "pdf",
     "image": "png jpg jpeg webp bmp tiff tif gif heif heic ico icns psd ai eps raw",
@@ -24,8 +24,9 @@ EXCLUDED = (
     "node_modules/**", ".yarn/cache/**", ".next/**", ".nuxt/**", "bower_components/**", "dist/**", "build/**", "DerivedData/**", "cmake-build-*/**",
     "__pycache__/**", ".tox/**", "*.pyc", "*.pyo", ".eggs/**", "*.egg-info/**", ".cargo/**", "target/release/**", "target/debug/**", "venv/**", ".venv/**", "vendor/**",
     "Library/Caches/**", "Library/Containers/**", "Library/Group Containers/**", "Library/Developer/**", "Library/Logs/**", "Library/Mail/**", "Library/Messages/**",
-    "Library/Saved Application State/**", ".DS_Store", ".localized", "._*", ".TemporaryItems/**", ".Trashes/**", ".fseventsd/**", ".Spotlight-V100/**", "Thumbs.db",
-    ".dropbox.cache/**", ".gdoc.tmp", ".gsheet.tmp", ".idea/**", ".vscode/**", "*.swp", "*.swo", "*~",
+    "Library/Saved Application State/**", "Library/Application Support/AddressBook/**", "Library/Application Support/CallHistoryDB/**",
+    "Library/Application Support/MobileSync/**", "Library/Application Support/com.apple.*/**", ".DS_Store", ".localized", "._*", ".TemporaryItems/**", ".Trashes/**", ".fseventsd/**", ".Spotlight-V100/**", "Thumbs.db",
+    ".dropbox.cache/**", ".dropbox/", "Icon\r", ".gdoc.tmp", ".gsheet.tmp", ".idea/**", ".vscode/**", "*.swp", "*.swo", "*~",
 )
 SENSITIVE = (".ssh/", ".gnupg/", ".gpg/", ".aws/", "Library/Preferences/", "Library/Keychains/")
 CLOUD_FOLDERS = ("Dropbox/", "Google Drive/", "GoogleDrive/", "My Drive/", "OneDrive/", "OneDrive -", "iCloud Drive/", "Mobile Documents/")

@@ -14,6 +14,10 @@ STOP_WORDS = "a an any and are at for from how in is it my of on or that there t
 NOISE = r"""[!?$@#%^&*(){}\[\]~`"']"""
 
 
+# Latin letters with a mark, and their letters.
+DIACRITICS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšţťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsssttuuuzzz")
+
+
 _CHUNK = StructType([StructField("chunk_index", IntegerType()), StructField("byte_offset", IntegerType()), StructField("chunk_text", StringType())])
 
 
@@ -46,32 +50,41 @@ def chunk_id(path: Column, index: Column) -> Column:
     return F.sha2(F.concat_ws("#", path, index.cast("string")), 256)
 
 
+def split_point(text: str, start: int, stop: int, least: int) -> int:
+    """Where to cut at `stop` or before: after a paragraph, after a sentence, after a space; never within `least` of the start."""
+    low = start + least if start + least <= stop else start
+    cut = text.rfind("\n\n", max(0, low - 1), stop) + 2
+    if cut > 1 and cut > low:
+        return cut
+    cut = max(text.rfind(end, low, stop + 1) for end in (". ", "!\n", "?\n")) + 1
+    if cut > low:
+        return cut
+    cut = text.rfind(" ", low, stop) + 1
+    return cut if cut > low else stop
+
+
 def chunk_offsets(text: str, target: int = 1000, least: int = 500, most: int = 2000) -> list[tuple[int, int]]:
-    """[(start, end)] of chunks that make up the text: cut backward from the target at a paragraph, sentence or space."""
+    """[(start, end)] of chunks that make up the text, cut near the target; a short rest after a cut goes with its chunk."""
     out, start, size = [], 0, len(text)
     while start < size:
         rest = size - start
-        if rest <= target or (rest <= most and rest - target < least):
-            out.append((start, size))
-            break
-        low, high = start + least, start + target
-        cut = text.rfind("\n\n", low, high)
-        cut = cut + 2 if cut >= 0 else -1
-        if cut < 0:
-            ends = [m.end() for m in re.finditer(r"\. |[!?](?=\n)", text[low:high])]
-            cut = low + ends[-1] if ends else -1
-        if cut < 0:
-            space = text.rfind(" ", low, high)
-            cut = space + 1 if space >= 0 else high
-        out.append((start, cut))
-        start = cut
+        stop = size if rest <= target else min(split_point(text, start, start + target, least), start + most)
+        if size - stop < least and rest <= most:
+            stop = size
+        out.append((start, stop))
+        start = stop
     return out
 
 
 @F.pandas_udf(ArrayType(_CHUNK))
 def chunks(texts: pd.Series) -> pd.Series:
     def one(text):
-        return [{"chunk_index": k, "byte_offset": len(text[:a].encode()), "chunk_text": text[a:b]} for k, (a, b) in enumerate(chunk_offsets(text))] if text else []
+        out, offset = [], 0
+        for k, (a, b) in enumerate(chunk_offsets(text or "")):
+            part = text[a:b]
+            out.append({"chunk_index": k, "byte_offset": offset, "chunk_text": part})
+            offset += len(part.encode())
+        return out
 
     return texts.map(one)
 

@@ -31,30 +31,38 @@ def best_sentences(chunks: DataFrame, terms: list[str], phrase: str = "", most_c
     return best.select("item_id", F.substring("b.sentence", 1, most_chars).alias("sentence"), F.col("b.score").alias("score"), F.round(F.least(F.lit(1.0), F.col("b.score") / 1.8), 6).alias("confidence"))
 
 
-def cascade(hits: DataFrame, fast: Column, strong: Column, first: int = 40, second: int = 12, margin: float = 0.08) -> DataFrame:
-    """`hits` (item_id, score) with both passes' boosts: the first on the top `first`, the second on the top `second` if the lead is small.
+def cascade(hits: DataFrame, fast: Column, strong: Column, semantic: Column | None = None, weights: tuple[float, float] = (19.25, 35.0), least: tuple[float, float] = (0.05, 0.10), first: int = 40, second: int = 12, margin: float = 0.08) -> DataFrame:
+    """`hits` (item_id, score) after both passes: `fast` (a score from 0 to 1) on the top `first`, `strong` on the top `second` if the order is in doubt.
 
-    Works on a top-k list; row caps take the place of time budgets.
+    A pass adds its weight times its score, from `least` on. The order is in doubt if the
+    lead of the first is below `margin`, or if three of the top ten or more have a
+    `semantic` of 0.55 and three one of 0.12 or less. Works on a top-k list; row caps take
+    the place of time budgets.
     """
     order = Window.orderBy(F.desc("score"), "item_id")
-    ranked = hits.orderBy(F.desc("score"), "item_id").limit(first).withColumn("rank", F.row_number().over(order))
-    ranked = ranked.withColumn("fast", F.greatest(F.lit(0.0), fast)).withColumn("score", F.col("score") + F.col("fast"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    boost = lambda score, k: F.when(score >= least[k], weights[k] * score).otherwise(0.0)
+    ranked = hits.orderBy(F.desc("score"), "item_id").limit(first)
+    ranked = ranked.withColumn("fast", boost(fast, 0)).withColumn("score", F.col("score") + F.col("fast"))
     again = ranked.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.col("score") - F.lead("score").over(order))
-    lead = F.first("lead").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    again = again.withColumn("ambiguous", F.coalesce(lead < margin, F.lit(False)))
-    boost = F.when(F.col("ambiguous") & (F.col("rank") <= second), F.greatest(F.lit(0.0), strong)).otherwise(0.0)
-    return again.withColumn("strong", boost).withColumn("score", F.col("score") + F.col("strong")).drop("lead")
+    doubt = F.coalesce(F.first("lead").over(whole) < margin, F.lit(False))
+    if semantic is not None:
+        among = lambda rule: F.sum(F.when((F.col("rank") <= 10) & rule, 1).otherwise(0)).over(whole)
+        doubt = doubt | ((F.count("*").over(whole) >= 2) & (among(semantic >= 0.55) >= 3) & (among(semantic <= 0.12) >= 3))
+    again = again.withColumn("ambiguous", doubt)
+    again = again.withColumn("strong", F.when(F.col("ambiguous") & (F.col("rank") <= second), boost(strong, 1)).otherwise(0.0))
+    return again.withColumn("score", F.col("score") + F.col("strong")).drop("lead")
 
 
-def hybrid_search(chunks: DataFrame, items: DataFrame, vectors: DataFrame, opens: DataFrame, query: str, embedding: list[float], now: Column, filters: Column | None = None, limit: int = 20, s: Settings = DEFAULTS, rerank: Callable | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame | fulltext.Index, items: DataFrame, vectors: DataFrame, opens: DataFrame, query: str, embedding: list[float], now: Column, filters: Column | None = None, limit: int = 20, s: Settings = DEFAULTS, rerank: Callable | None = None) -> DataFrame:
     """Ranked items (item_id, path, category, fused, boosts, score) for one query: one plan from candidates to the top.
 
     The query is understood on the driver; candidates of both sides are top-k lists, so
-    what is joined with the catalog is bounded by their limits.
+    what is joined with the catalog is bounded by their limits. `chunks` may be an index.
     """
-    terms = [t for t, _ in fulltext.sanitize_relaxed(query)]
     allowed = items if filters is None else items.where(filters)
-    lexical = fulltext.best_chunks(fulltext.bm25(chunks.join(allowed.select("item_id"), "item_id", "left_semi"), terms, every=False, settings=s))
+    found = fulltext.ranked(chunks, fulltext.sanitize_relaxed(query), every=False, settings=s)  # statistics are the whole corpus's, whatever the filters
+    lexical = fulltext.best_chunks(found if filters is None else found.join(allowed.select("item_id"), "item_id", "left_semi"))
     lexical = lexical.select("item_id", (-F.col("rank")).alias("score")).orderBy(F.desc("score"), "item_id").limit(4 * limit)
     near = vector.knn(vectors.join(allowed.select("item_id"), "item_id", "left_semi"), embedding, 2 * limit)
     semantic = near.select("item_id", vector.normalized_similarity(F.col("similarity"), 0.1).alias("score"))

@@ -10,9 +10,9 @@ from trovesift.functions.paths import directory
 
 # Categories of extensions.
 CATEGORIES = {
-    "code": "py js ts c cpp h java rs go rb php swift kt sql sh",
-    "document": "pdf doc docx txt md rtf odt pages",
-    "media": "png jpg jpeg gif webp mp3 mp4 mov wav svg",
+    "code": "py js ts tsx jsx cpp c h hpp go rs java rb php swift kt scala sh bash zsh",
+    "document": "md txt pdf docx doc rtf tex org rst csv",
+    "media": "png jpg jpeg gif svg mp3 mp4 mov wav webp ico",
 }
 #: Ties go to the first of these.
 PRIORITY = ("media", "document", "code", "other")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovesift.config import DEFAULTS, Settings
 from trovesift.functions import text
 
-#: Bytes of a query's side that may be broadcast: terms of a query are a few rows.
-QUERY_TERMS = 64
+#: A query's term, and whether it stands for all words that begin with it.
+Term = tuple[str, bool]
+POSTINGS = "term string, item_id long, chunk_index int, dl int, tf_name long, tf_path long, tf_content long"
 
 
 def sanitize_strict(raw: str) -> list[list[str]]:
@@ -25,7 +28,7 @@ def sanitize_strict(raw: str) -> list[list[str]]:
             out.extend([words] if words else [])
         else:
             out.extend([w] for w in words)
-    return out[:QUERY_TERMS]
+    return out
 
 
 def sanitize_relaxed(raw: str) -> list[tuple[str, bool]]:
@@ -34,52 +37,140 @@ def sanitize_relaxed(raw: str) -> list[tuple[str, bool]]:
     return [(w, len(w) >= 4) for w in list(words)[:8]]
 
 
-def postings(chunks: DataFrame, stemming: bool = False) -> DataFrame:
-    """(item_id, chunk_index, dl, term, tf_name, tf_path, tf_content, positions) of chunks (item_id, chunk_index, name, path, chunk_text)."""
-    fields = chunks.select("item_id", "chunk_index", *(text.tokens(F.col(c)).alias(c) for c in ("name", "path", "chunk_text")))
+def fold(words: Column) -> Column:
+    """Words without diacritics."""
+    return F.transform(words, lambda w: F.regexp_replace(F.translate(w, *text.DIACRITICS), r"\p{M}+", ""))
+
+
+def postings(chunks: DataFrame, stemming: bool = False, folding: bool = False) -> DataFrame:
+    """POSTINGS of chunks (item_id, chunk_index, name, path, chunk_text). The empty term of each chunk holds its length.
+
+    All words of a chunk are in one task, so they are counted before the shuffle.
+    """
+    columns = ("name", "path", "chunk_text")
+    fields = chunks.select("item_id", F.col("chunk_index").cast("int").alias("chunk_index"), *(text.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
+    if folding:
+        fields = fields.select("item_id", "chunk_index", *(fold(F.col(c)).alias(c) for c in columns))
     if stemming:
-        fields = fields.select("item_id", "chunk_index", *(text.stems(c).alias(c) for c in ("name", "path", "chunk_text")))
+        fields = fields.select("item_id", "chunk_index", *(text.stems(c).alias(c) for c in columns))
     dl = (F.size("name") + F.size("path") + F.size("chunk_text")).alias("dl")
-    tag = lambda c, k: F.transform(F.col(c), lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("field"), i.alias("position")))
-    rows = fields.select("item_id", "chunk_index", dl, F.explode(F.concat(tag("name", 0), tag("path", 1), tag("chunk_text", 2))).alias("t")).select("item_id", "chunk_index", "dl", "t.*")
+    tag = lambda c, k: F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(k).alias("field")))
+    length = F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("field")))
+    rows = fields.select("item_id", "chunk_index", dl, F.explode(F.concat(length, tag("name", 0), tag("path", 1), tag("chunk_text", 2))).alias("t")).select("item_id", "chunk_index", "dl", "t.*")
     count = lambda k, name: F.count_if(F.col("field") == k).alias(name)
-    return rows.groupBy("item_id", "chunk_index", "dl", "term").agg(count(0, "tf_name"), count(1, "tf_path"), count(2, "tf_content"))
+    counted = rows.groupBy("term", "item_id", "chunk_index", "dl").agg(count(0, "tf_name"), count(1, "tf_path"), count(2, "tf_content"))
+    return counted.select(*(x.split()[0] for x in POSTINGS.split(", ")))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): chunks with each term."""
+    return index.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+
 
+def _terms(terms) -> list[Term]:
+    return list(dict.fromkeys(t if isinstance(t, tuple) else (t, False) for t in terms))
 
-def bm25(chunks: DataFrame, terms: list[str], every: bool, settings: Settings = DEFAULTS) -> DataFrame:
+
+def _is(word: Column, term: Term) -> Column:
+    return word.startswith(term[0]) if term[1] else word == term[0]
+
+
+def _scored(counted: DataFrame, totals, terms: list[Term], every: bool, s: Settings) -> DataFrame:
+    """(item_id, chunk_index, rank) of rows (item_id, chunk_index, dl, tf0, tf1, ...) with the corpus's (n, avgdl, n0, n1, ...)."""
+    average = totals["avgdl"] or 1.0
+    score, has = F.lit(0.0), []
+    for k in range(len(terms)):
+        df = totals[f"n{k}"] or 0
+        idf = max(math.log((totals["n"] - df + 0.5) / (df + 0.5)), 1e-6)
+        w = F.col(f"tf{k}")
+        score = score + F.lit(idf) * w * (s.bm25_k1 + 1) / (w + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / average))
+        has.append(w > 0)
+    rule = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), has, F.lit(every and bool(has)))
+    return counted.where(rule).select("item_id", "chunk_index", (-score).alias("rank"))
+
+
+def bm25(chunks: DataFrame, terms: list, every: bool, settings: Settings = DEFAULTS) -> DataFrame:
     """(item_id, chunk_index, rank) of chunks with any (or every) term; rank is negative, lower is better.
 
-    Only postings of the query's terms are made: the filter comes before the explode, so
-    chunks without any of them stop at the scan. The weighted counts of fields follow the settings.
+    `terms` are words, or (word, whether it is a prefix). Without an index: two passes over
+    the texts, with no shuffle but of sums. `Index.bm25` gives the same from postings.
     """
-    terms = list(dict.fromkeys(terms))[:QUERY_TERMS]
+    terms = _terms(terms)
     weights = {"name": settings.name_weight, "path": settings.path_weight, "chunk_text": settings.content_weight}
     fields = chunks.select("item_id", "chunk_index", *(text.tokens(F.col(c)).alias(c) for c in weights))
     fields = fields.select("*", (F.size("name") + F.size("path") + F.size("chunk_text")).alias("dl"))
-    count = lambda c, t: F.size(F.filter(F.col(c), lambda w: w == t)) * F.lit(weights[c])
-    tf = [sum((count(c, F.lit(t)) for c in weights), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(terms)]
+    count = lambda c, t: F.size(F.filter(F.col(c), lambda w: _is(w, t))) * F.lit(weights[c])
+    tf = [sum((count(c, t) for c in weights), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(terms)]
     counted = fields.select("item_id", "chunk_index", "dl", *tf)
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms)))).first()
-    n, average = totals["n"], totals["avgdl"] or 1.0
-    score, has = F.lit(0.0), []
-    for k in range(len(terms)):
-        df = totals[f"n{k}"]
-        idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6)) if df is not None else F.lit(1e-6)
-        w = F.col(f"tf{k}")
-        score = score + idf * w * (settings.bm25_k1 + 1) / (w + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / average))
-        has.append(w > 0)
-    rule = F.lit(False)
-    for h in has:
-        rule = rule | h
-    if every and has:
-        rule = F.lit(True)
-        for h in has:
-            rule = rule & h
-    return counted.where(rule).select("item_id", "chunk_index", (-score).alias("rank"))
+    return _scored(counted, totals, terms, every, settings)
+
+
+class Index:
+    """A persisted inverted index: postings sorted by term, document frequencies, the corpus's size and mean length.
+
+    A search reads the row groups of its terms only (the filter on the sorted column is
+    pushed to the scan), so its cost goes with their postings, not with the corpus.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.postings = spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+        self.frequencies = spark.read.schema("term string, df long").parquet(f"{self.path}/frequencies")
+        stats = spark.read.schema("n long, avgdl double").parquet(f"{self.path}/statistics").first()
+        self.n, self.average = stats.n, stats.avgdl
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, stemming: bool = False, folding: bool = False) -> Index:
+        spark, path = chunks.sparkSession, path.rstrip("/")
+        made = postings(chunks, stemming, folding).repartitionByRange("term").sortWithinPartitions("term", "item_id", "chunk_index")
+        made.write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        document_frequency(written).write.mode("overwrite").parquet(f"{path}/frequencies")
+        written.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
+        return cls(spark, path)
+
+    def compact(self, path: str) -> Index:
+        """The same index, sorted anew into fewer and larger files; refuses one whose parts disagree."""
+        if not self.whole():
+            raise ValueError("the index is damaged")
+        rows = self.postings.repartitionByRange("term").sortWithinPartitions("term", "item_id", "chunk_index")
+        rows.write.mode("overwrite").parquet(f"{path}/postings")
+        for name, df in (("frequencies", self.frequencies), ("statistics", self.spark.createDataFrame([(self.n, self.average)], "n long, avgdl double"))):
+            df.coalesce(8).write.mode("overwrite").parquet(f"{path}/{name}")
+        return Index(self.spark, path)
+
+    def whole(self) -> bool:
+        """Whether postings, frequencies and statistics agree."""
+        rows = self.postings.agg(F.count_if(F.col("term") != ""), F.count_if(F.col("term") == "")).first()
+        return rows[0] == (self.frequencies.agg(F.sum("df")).first()[0] or 0) and rows[1] == self.n
+
+    def bm25(self, terms: list, every: bool, settings: Settings = DEFAULTS) -> DataFrame:
+        """As `bm25` of the chunks that the index was built from."""
+        terms = _terms(terms)
+        if not terms:
+            return self.spark.createDataFrame([], "item_id long, chunk_index int, rank double")
+        weight = F.col("tf_name") * settings.name_weight + F.col("tf_path") * settings.path_weight + F.col("tf_content") * settings.content_weight
+        rows = self.postings.where(reduce(lambda a, b: a | b, (_is(F.col("term"), t) for t in terms)))
+        tf = [F.sum(F.when(_is(F.col("term"), t), weight).otherwise(0.0)).alias(f"tf{k}") for k, t in enumerate(terms)]
+        counted = rows.groupBy("item_id", "chunk_index", "dl").agg(*tf)
+        found = counted.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(terms)))).first()
+        return _scored(counted, {"n": self.n, "avgdl": self.average, **found.asDict()}, terms, every, settings)
+
+    def strict(self, chunks: DataFrame, raw: str, settings: Settings = DEFAULTS) -> DataFrame:
+        """Chunks (as `bm25`) with all terms and all phrases of a query; only hits of all words are looked at for phrases."""
+        groups = sanitize_strict(raw)
+        hits = self.bm25([w for g in groups for w in g], True, settings)
+        for words in (g for g in groups if len(g) > 1):
+            hits = hits.join(with_phrase(chunks, words).select("item_id", "chunk_index"), ["item_id", "chunk_index"], "left_semi")
+        return hits
+
+    def relaxed(self, raw: str, settings: Settings = DEFAULTS) -> DataFrame:
+        return self.bm25(sanitize_relaxed(raw), False, settings)
+
+
+def ranked(source: DataFrame | Index, terms: list, every: bool, settings: Settings = DEFAULTS) -> DataFrame:
+    return source.bm25(terms, every, settings) if isinstance(source, Index) else bm25(source, terms, every, settings)
 
 
 def best_chunks(hits: DataFrame) -> DataFrame:
@@ -111,25 +202,48 @@ ADJACENT = {
 }
 
 
-def lexicon(index: DataFrame, per_letter: int = 5000) -> DataFrame:
-    """(term, df, first): the most frequent terms of each first letter."""
-    terms = document_frequency(index).where(F.length("term") >= 2).withColumn("first", F.substring("term", 1, 1))
+def lexicon(frequencies: DataFrame, names: DataFrame | None = None, per_letter: int = 5000, total: int = 100_000) -> DataFrame:
+    """(term, df, first): of `frequencies` (term, df) the most frequent terms of each first letter, `total` at most; and words of `names` (name) that aren't among them."""
+    terms = frequencies.where(F.length("term") >= 2).withColumn("first", F.substring("term", 1, 1))
     order = Window.partitionBy("first").orderBy(F.desc("df"), "term")
-    return terms.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_letter).drop("_r")
+    top = terms.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_letter).drop("_r").orderBy(F.desc("df"), "term").limit(total)
+    if names is None:
+        return top
+    words = names.select(F.explode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("term")).where(F.length("term") >= 2).distinct()
+    more = words.join(top.select("term"), "term", "left_anti").select("term", F.lit(1).cast("long").alias("df"), F.substring("term", 1, 1).alias("first"))
+    return top.unionByName(more)
 
 
-def typo_candidates(tokens: DataFrame, terms: DataFrame, most: int = 2, plain: bool = True) -> DataFrame:
+def typo_candidates(tokens: DataFrame, terms: DataFrame, most: int = 2, plain: bool = True, equal: bool = False, also: list[str] = ()) -> DataFrame:
     """(token, term, df, distance): lexicon terms near each token, joined by a neighbouring first letter and the length.
 
-    The distance is Levenshtein's, or optimal string alignment with `plain=False`.
+    The distance is Levenshtein's, or optimal string alignment with `plain=False`. Equal
+    terms are no candidates but with `equal`; columns `also` of the terms stay.
     """
     near = F.create_map(*(F.lit(x) for k, v in ADJACENT.items() for x in (k, v)))[F.substring("token", 1, 1)]
     letters = F.explode(F.split(F.coalesce(near, F.substring("token", 1, 1)), "")).alias("first")
     keys = tokens.select("token", letters).where("first <> ''").distinct()
     close = F.abs(F.length("token") - F.length("term")) <= most
-    pairs = keys.join(terms, "first").where(close & (F.col("token") != F.col("term")))
+    pairs = keys.join(terms, "first").where(close & (F.lit(equal) | (F.col("token") != F.col("term"))))
     distance = F.levenshtein("token", "term") if plain else text.osa("token", "term")
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= most).select("token", "term", "df", "distance")
+    return pairs.withColumn("distance", distance).where(F.col("distance") <= most).select("token", "term", "df", "distance", *also)
+
+
+def corrections(tokens: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
+    """(token, term, df, distance): the nearest term of each token, the most frequent of equals; tokens without one are tried once more with runs of a letter as one."""
+
+    def nearest(found: DataFrame) -> DataFrame:
+        best = found.groupBy("token").agg(F.min(F.struct("distance", (-F.col("df")).alias("rare"), "term")).alias("b"))
+        return best.select("token", "b.term", (-F.col("b.rare")).alias("df"), "b.distance")
+
+    plain = nearest(typo_candidates(tokens, terms, most))
+    squeezed = lambda c: F.regexp_replace(c, r"(.)\1+", "$1")
+    left = tokens.join(plain.select("token"), "token", "left_anti")
+    runs = left.select(F.col("token").alias("whole"), squeezed("token").alias("token"))
+    short = terms.select(F.col("term").alias("whole_term"), squeezed("term").alias("term"), "df", "first")
+    again = typo_candidates(runs.select("token").distinct(), short, most, equal=True, also=["whole_term"])
+    again = again.join(runs, "token").select(F.col("whole").alias("token"), F.col("whole_term").alias("term"), "df", "distance").where("token <> term")
+    return plain.unionByName(nearest(again))
 
 
 def typo_confidence():
@@ -138,7 +252,9 @@ def typo_confidence():
     first = F.when(F.substring("token", 1, 1) == F.substring("term", 1, 1), 0.06).otherwise(-0.08)
     length = F.when(F.length("token") == F.length("term"), 0.05).otherwise(0.0)
     prefix = F.when(F.substring("token", 1, 2) == F.substring("term", 1, 2), 0.04).otherwise(0.0)
-    swapped = (F.length("token") == F.length("term")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("term", "")))
+    token, size = F.col("token"), F.length("token")
+    swap = lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.lit(1)), F.substring(token, i, F.lit(1)), F.substring(token, i + 2, size))
+    swapped = (size == F.length("term")) & (size >= 2) & F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: swap(i) == F.col("term"))
     long = F.when((F.col("distance") == 2) & (F.length("token") >= 8), 0.05).otherwise(0.0)
     total = 0.48 + F.when(F.col("distance") == 1, 0.22).otherwise(0.10) + steps + first + length + prefix + F.when(swapped, 0.06).otherwise(0.0) + long
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))

@@ -42,11 +42,28 @@ def exposure_weight(rank: Column) -> Column:
     return F.least(F.lit(4.0), F.greatest(F.lit(1.0), F.log2(rank + 2.0)))
 
 
-def ltr_delta(base: Column, top3: Column, interactions: Column, s: Settings = DEFAULTS) -> Column:
-    """Personal delta of a score, 8 at most either way, once there are enough interactions."""
-    strength = F.least(F.lit(1.0), interactions / 2000.0)
-    delta = F.least(F.lit(8.0), F.greatest(F.lit(-8.0), (base - 0.5) * 16 * strength * (0.5 + top3)))
-    return F.when(interactions >= s.ltr_min_interactions, delta).otherwise(0.0)
+def personal_weights(top3: float, interactions: int, s: Settings = DEFAULTS) -> dict[str, float] | None:
+    """Weights of the personal linear model from the share of picks among the first three and the number of interactions; None if these are too few."""
+    if interactions < max(s.ltr_min_interactions, 1):
+        return None
+    top3, scale = min(1.0, max(0.0, top3)), min(1.0, interactions / 2000)
+    return {
+        "bias": -2.2 + 0.4 * top3, "semantic": 1.6 + 1.4 * top3, "cross": 1.8 + 1.6 * top3, "feedback": 0.8 + 1.2 * scale, "router": 0.8 + 0.8 * top3,
+        "need": 1.2 + 0.8 * top3, "exact": 0.9, "path_code": -1.0,
+    }
+
+
+def personal_delta(weights: dict[str, float] | None, semantic: Column, cross: Column, feedback: Column, frequency: Column, kind: Column, router: float, need: float, path_or_code: bool) -> Column:
+    """What the personal model adds to a score, 8 at most either way; boosts count as shares of 40."""
+    if weights is None:
+        return F.lit(0.0)
+    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    fixed = weights["bias"] + weights["router"] * min(1.0, max(0.0, router)) + weights["need"] * min(1.0, max(0.0, need))
+    total = fixed + weights["semantic"] * unit(semantic) + weights["cross"] * unit(cross) + weights["feedback"] * unit((feedback + frequency) / 40.0)
+    total = total + F.when(kind.isin("exact_name", "prefix_name"), weights["exact"]).otherwise(0.0)
+    if path_or_code:
+        total = total + F.when(unit(semantic) > 0.7, weights["path_code"]).otherwise(0.0)
+    return F.least(F.lit(8.0), F.greatest(F.lit(-8.0), total))
 
 
 def linear(features: Column, weights: list[float], bias: float) -> Column:
@@ -64,9 +81,9 @@ def log_loss(probability: Column, label: Column, weight: Column) -> Column:
     return F.sum(-weight * F.when(label == 1, F.log(p)).otherwise(F.log(1 - p))) / F.sum(weight)
 
 
-def split_holdout(samples: DataFrame, order: str, every: int = 5) -> DataFrame:
-    """is_holdout: one row in `every` by order. Samples are a training batch, bounded by its cap."""
-    return samples.withColumn("is_holdout", (F.row_number().over(Window.orderBy(order)) - 1) % every == 0)
+def split_holdout(samples: DataFrame, key: str, every: int = 5) -> DataFrame:
+    """is_holdout: one row in `every` by the key's digest, the same in every task and batch."""
+    return samples.withColumn("is_holdout", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % every == 0)
 
 
 def sample_batch(examples: DataFrame, most: int, ratio: float = 3.0, seed: int = 1) -> DataFrame:

@@ -54,23 +54,35 @@ def reciprocal_rank_fusion(lexical: DataFrame, semantic: DataFrame, weights: tup
     return joined.select("item_id", category.alias("category"), (part("a", weights[0]) + part("b", weights[1])).alias("score"))
 
 
-def admit(hits: DataFrame, safety: float, relaxed: float, cap: int) -> DataFrame:
-    """Semantic-only hits (item_id, similarity, overlap) with the reason they are let in, the best `cap` of them."""
-    reason = F.when(F.col("similarity") >= safety, "safety").when(F.col("overlap") > 0, "overlap").when(F.col("similarity") >= relaxed, "relaxed")
-    order = Window.orderBy(F.desc("similarity"), "item_id")
-    return hits.withColumn("reason", reason).where("reason is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+def admit(hits: DataFrame, safety: float, relaxed: float, cap: int, weak_natural: bool = True) -> DataFrame:
+    """Semantic-only hits (item_id, similarity, overlap) with the reason they are let in, the best `cap` of them.
+
+    The relaxed bar holds only for natural language with weak lexical hits. The best `cap` are found before they are ranked.
+    """
+    reason = F.when(F.col("similarity") >= safety, "high_similarity").when(F.col("overlap") > 0, "lexical_overlap")
+    if weak_natural:
+        reason = reason.when(F.col("similarity") >= relaxed, "weak_lexical_semantic")
+    top = hits.withColumn("reason", reason).where("reason is not null").orderBy(F.desc("similarity"), "item_id").limit(cap)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "item_id")))
+
+
+def normalized_lexical(score: Column, highest: Column) -> Column:
+    """A lexical score as a share of the highest; 0 if that isn't positive."""
+    return F.when(highest > 0, score / highest).otherwise(0.0)
 
 
 def quantize(v: Column) -> Column:
-    """struct(scale, zero, data): 8-bit affine codes from -128 to 127."""
+    """struct(scale, zero, data): affine codes from -128 to 127 with an integer zero point; a constant vector has scale 0 and codes 0."""
     low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    scale = F.when(high > low, (high - low) / 255).otherwise(1.0)
-    data = F.transform(v, lambda x: F.least(F.lit(127), F.greatest(F.lit(-128), F.round((x.cast("double") - low) / scale).cast("int") - 128)))
-    return F.struct(scale.alias("scale"), low.alias("low"), data.alias("data"))
+    scale = F.when((high - low) / 255 > 1.1920929e-07, (high - low) / 255).otherwise(0.0)
+    zero = F.when(scale > 0, F.least(F.lit(255), F.greatest(F.lit(0), F.round(-low / scale).cast("int")))).otherwise(0)
+    code = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round(x.cast("double") / scale).cast("int") + zero)) - 128
+    data = F.transform(v, lambda x: F.when(scale > 0, code(x)).otherwise(0))
+    return F.struct(scale.alias("scale"), zero.alias("zero"), data.alias("data"))
 
 
 def dequantize(q: Column) -> Column:
-    return F.transform(q["data"], lambda x: (x + 128) * q["scale"] + q["low"])
+    return F.transform(q["data"], lambda x: F.when(q["scale"] > 0, (x + 128 - q["zero"]) * q["scale"]).otherwise(0.0))
 
 
 def activate(state: DataFrame, generation: str) -> DataFrame:

@@ -24,19 +24,10 @@ def first_passages(spark, sf_dir):
     return X.first_passages(docs).select("item_id", "ordinal", F.md5("chunk_text").alias("chunk_md5"))
 
 
-@query("""WITH ev AS (SELECT 'p' || user_id AS path, event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'click' THEN 'modified' WHEN 'view' THEN 'new' ELSE 'rescan' END AS kind, CAST(ts AS DATE) AS d FROM events)
-SELECT path, CASE min(CASE kind WHEN 'delete' THEN 1 WHEN 'modified' THEN 2 WHEN 'new' THEN 3 ELSE 4 END) WHEN 1 THEN 'delete' WHEN 2 THEN 'modified' WHEN 3 THEN 'new' ELSE 'rescan' END AS kind, count(*) AS n_events
-FROM ev WHERE seq % 11 = 0 GROUP BY path""")
-def coalesce_events(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "modified").when(F.col("event_type") == "view", "new").otherwise("rescan")
-    e = table(spark, sf_dir, "events").where("event_id % 11 = 0").select(F.concat(F.lit("p"), "user_id").alias("path"), kind.alias("kind"), F.col("event_id").alias("seq"))
-    return X.coalesce_changes(e)
-
-
 @query("""WITH ev AS (SELECT 'p' || user_id || '/' || (epoch_us(ts) // 3600000000) AS path, CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS r FROM events)
 SELECT path, CASE min(r) WHEN 1 THEN 'delete' WHEN 2 THEN 'modified' WHEN 3 THEN 'new' ELSE 'rescan' END AS kind, count(*) AS n_events FROM ev GROUP BY path""")
-def coalesce_all_events(spark, sf_dir):
-    """Like `coalesce_events`, of all events: a path for each user and hour."""
+def coalesce_events(spark, sf_dir):
+    """All events; a path for each user and hour."""
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "modified").when(F.col("event_type") == "view", "new").otherwise("rescan")
     hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), "user_id", F.lit("/"), hour).alias("path"), kind.alias("kind"), F.col("event_id").alias("seq"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trovesift.catalog import query
 from trovesift.operators import learning as L
-from trovesift.plans.relations import AS_OF, as_of, table
+from trovesift.plans.relations import AS_OF, FEEDBACK, as_of, feedback, table, with_
 
 _WEIGHTS = [0.4, -0.2, 0.1]
 
@@ -52,13 +52,18 @@ def exposure_weight(spark, sf_dir):
     return ranked.select("event_id", "rank", F.round(L.exposure_weight(F.col("rank")), 6).alias("weight"))
 
 
-@query(f"""WITH {_E}, t AS (SELECT avg(CASE WHEN k <= 3 THEN 1.0 ELSE 0.0 END) AS top3, count(*) AS n FROM e)
-SELECT event_id, round(CASE WHEN n >= 200 THEN least(8.0, greatest(-8.0, (value / 100 - 0.5) * 16 * least(1.0, n / 2000.0) * (0.5 + top3))) ELSE 0.0 END, 6) AS delta FROM e, t WHERE event_type = 'purchase'""")
+@query(with_(FEEDBACK) + """, t AS (SELECT avg(CASE WHEN position <= 3 THEN 1.0 ELSE 0.0 END) AS r, least(1.0, count(*) / 2000.0) AS n FROM feedback),
+x AS (SELECT event_id, least(1.0, greatest(0.0, value / 100)) AS s, least(1.0, (event_id % 11) / 10.0) AS c, least(1.0, ((event_id % 26) + (event_id % 31)) / 40.0) AS f, event_id % 7 = 0 AS e FROM feedback)
+SELECT event_id, round(least(8.0, greatest(-8.0, -2.2 + 0.4 * r + (0.8 + 0.8 * r) * 0.88 + (1.2 + 0.8 * r) * 0.2 + (1.6 + 1.4 * r) * s + (1.8 + 1.6 * r) * c + (0.8 + 1.2 * n) * f
+  + CASE WHEN e THEN 0.9 ELSE 0.0 END + CASE WHEN s > 0.7 THEN -1.0 ELSE 0.0 END)), 6) AS delta FROM x, t""")
 def ltr_delta(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    t = e.agg(F.avg(F.when(F.col("k") <= 3, 1.0).otherwise(0.0)).alias("top3"), F.count("*").alias("n")).first()
-    delta = L.ltr_delta(F.col("value") / 100, F.lit(t.top3), F.lit(t.n))
-    return e.where("event_type = 'purchase'").select("event_id", F.round(delta, 6).alias("delta"))
+    """The personal model's delta of hits, for a query that looks like code."""
+    f, k = feedback(spark, sf_dir), F.col("event_id")
+    t = f.agg(F.avg(F.when(F.col("position") <= 3, 1.0).otherwise(0.0)).alias("top3"), F.count("*").alias("n")).first()
+    delta = L.personal_delta(
+        L.personal_weights(t.top3 or 0.0, t.n), F.col("value") / 100, k % 11 / 10.0, (k % 26).cast("double"), (k % 31).cast("double"), F.when(k % 7 == 0, "exact_name").otherwise("content"), 0.88, 0.2, True
+    )
+    return f.select("event_id", F.round(delta, 6).alias("delta"))
 
 
 def _samples(spark, sf_dir):
@@ -69,10 +74,10 @@ def _samples(spark, sf_dir):
 _S = """s AS (SELECT event_id AS sample_id, 0.4 * value / 100 - 0.2 * coalesce(k, 0) / 10.0 + 0.1 + 0.05 AS z, CAST(event_type = 'click' AS INT) AS label FROM e WHERE event_type IN ('click', 'view'))"""
 
 
-@query(f"""WITH {_E}, {_S}, h AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) % 5 = 0 AS is_holdout, 1 / (1 + exp(-z)) AS p FROM s)
+@query(f"""WITH {_E}, {_S}, h AS (SELECT *, CAST('0x' || md5(CAST(sample_id AS VARCHAR))[1:8] AS BIGINT) % 5 = 0 AS is_holdout, 1 / (1 + exp(-z)) AS p FROM s)
 SELECT is_holdout, count(*) AS n, round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS loss FROM h GROUP BY is_holdout""")
 def holdout_logloss(spark, sf_dir):
-    """One window over the batch of samples, which the sampler bounds in production."""
+    """Loss of a linear model, inside and outside the holdout."""
     s = L.split_holdout(_samples(spark, sf_dir), "sample_id").withColumn("p", L.linear(F.col("features"), _WEIGHTS, 0.05))
     return s.groupBy("is_holdout").agg(F.count("*").alias("n"), F.round(L.log_loss(F.col("p"), F.col("label"), F.col("weight")), 6).alias("loss"))
 

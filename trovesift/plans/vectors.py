@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trovesift.catalog import query
 from trovesift.operators import vector as V
+from trovesift.operators.merge import top_per_group
 from trovesift.plans.relations import table, vectors
 
 
@@ -48,7 +49,8 @@ parts AS (SELECT label, t, t[1] AS best, list_sum(list_transform(t, lambda x: x
 SELECT label, round(best + (1 - best) * least(0.10, 0.03 * (len(t) - 1)) * least(1.0, greatest(0.0, (mean - 0.5) / 0.5)), 6) AS score FROM parts""")
 def softmax_aggregate(spark, sf_dir):
     """Passages are the vectors of a label."""
-    grouped = _similar(spark, sf_dir, 1).groupBy("label").agg(F.collect_list("cosine").alias("s"))
+    best = top_per_group(_similar(spark, sf_dir, 1), "label", [F.desc("cosine")], 3)  # only the best passages of each are gathered
+    grouped = best.groupBy("label").agg(F.collect_list("cosine").alias("s"))
     return grouped.select("label", F.round(V.aggregate_passages(F.col("s")), 6).alias("score"))
 
 
@@ -77,7 +79,7 @@ def rrf_merge(spark, sf_dir):
 
 
 @query(f"""WITH {_sims(7)}, h AS (SELECT item_id, cosine, item_id % 7 = 0 AS o FROM sims),
-r AS (SELECT item_id, cosine, CASE WHEN cosine >= 0.74 THEN 'safety' WHEN o THEN 'overlap' WHEN cosine >= 0.3 THEN 'relaxed' END AS reason FROM h)
+r AS (SELECT item_id, cosine, CASE WHEN cosine >= 0.74 THEN 'high_similarity' WHEN o THEN 'lexical_overlap' WHEN cosine >= 0.3 THEN 'weak_lexical_semantic' END AS reason FROM h)
 SELECT item_id, reason, row_number() OVER (ORDER BY cosine DESC, item_id) AS rank FROM r WHERE reason IS NOT NULL QUALIFY rank <= 8""")
 def semantic_admission(spark, sf_dir):
     hits = _similar(spark, sf_dir, 7).select("item_id", F.col("cosine").alias("similarity"), (F.col("item_id") % 7 == 0).cast("int").alias("overlap"))
@@ -85,11 +87,12 @@ def semantic_admission(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high FROM embeddings)
-SELECT vec_id AS item_id, round((high - low) / 255, 9) AS scale, list_sum(list_transform(v, lambda x: round((x - low) / ((high - low) / 255)) - 128))::BIGINT AS code_sum, TRUE AS close FROM p""")
+SELECT vec_id AS item_id, round((high - low) / 255, 9) AS scale, CAST(least(255, greatest(0, round(-low / ((high - low) / 255)))) AS INT) AS zero,
+  list_sum(list_transform(v, lambda x: least(255, greatest(0, round(x / ((high - low) / 255)) + least(255, greatest(0, round(-low / ((high - low) / 255)))))) - 128))::BIGINT AS code_sum, TRUE AS close FROM p""")
 def quantize_roundtrip(spark, sf_dir):
     q = vectors(spark, sf_dir).select("item_id", "embedding", V.quantize(F.col("embedding")).alias("q"))
     gap = F.array_max(F.zip_with(V.dequantize(F.col("q")), "embedding", lambda a, b: F.abs(a - b)))
-    return q.select("item_id", F.round("q.scale", 9).alias("scale"), F.aggregate("q.data", F.lit(0), lambda a, x: a + x).cast("long").alias("code_sum"), (gap <= F.col("q.scale") * 0.51).alias("close"))
+    return q.select("item_id", F.round("q.scale", 9).alias("scale"), F.col("q.zero").alias("zero"), F.aggregate("q.data", F.lit(0), lambda a, x: a + x).cast("long").alias("code_sum"), (gap <= F.col("q.scale") * 1.01).alias("close"))
 
 
 @query("SELECT v AS generation_id, n, v = 'v1' AS is_active FROM (SELECT 'v' || (label % 2 + 1) AS v, count(*) AS n FROM embeddings GROUP BY 1)")
