@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trovesift.config import DEFAULTS, Settings
 from trovesift.functions import scoring as S
+from trovesift.functions.paths import directory
 from trovesift.operators import fulltext, understanding, vector
 
 
@@ -78,3 +79,43 @@ def hybrid_search(chunks: DataFrame | fulltext.Index, items: DataFrame, vectors:
     if rerank is not None:
         scored = rerank(scored)
     return scored.select("item_id", "path", "category", F.round("fused", 9).alias("fused"), F.round("boosts", 6).alias("boosts"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "item_id").limit(limit)
+
+
+def document_text(name: Column, path: Column, snippet: Column) -> Column:
+    """What a reranker reads of a hit: name, folder and plain snippet, as far as there are any."""
+    plain = F.regexp_replace(F.coalesce(snippet, F.lit("")), "</?b>", "")
+    folder = directory(path)
+    return F.concat_ws(" | ", name, F.when(folder != "", folder), F.when(plain != "", plain))
+
+
+def rerank_pairs(queries: DataFrame, hits: DataFrame, most: int = 40) -> DataFrame:
+    """(query, item_id, document) of each query (query_id, query) with its `most` best hits (query_id, item_id, score, name, path, snippet)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    top = hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return top.join(queries, "query_id").select("query_id", "query", "item_id", document_text(F.col("name"), F.col("path"), F.col("snippet")).alias("document"))
+
+
+def cross_boost(logit: Column, weight: float, least: float = 0.1) -> Column:
+    """A reranker's boost: weight times the logistic of its logit, from `least` on."""
+    score = 1 / (1 + F.exp(-logit))
+    return F.when(score >= least, weight * score).otherwise(0.0)
+
+
+def best_span(start: Column, end: Column, most: int = 30) -> Column:
+    """struct(score, first, last, confidence): the span with the highest sum of start and end logits, `most` tokens beyond its first at most; the first of equals."""
+    places = F.sequence(F.lit(1), F.size(start))
+    reach = lambda s: F.slice(end, s, F.lit(most + 1))
+    spans = F.transform(places, lambda s: F.struct((F.element_at(start, s) + F.array_max(reach(s))).alias("score"), (-s).alias("s")))
+    best = F.array_max(spans)
+    first = -best["s"]
+    last = first - 1 + F.array_position(reach(first), F.array_max(reach(first))).cast("int")
+    return F.struct(best["score"].alias("score"), (first - 1).alias("first"), (last - 1).alias("last"), (1 / (1 + F.exp(-best["score"] / 6))).alias("confidence"))
+
+
+def sentence_around(text: str, relative: float, most: int = 240) -> str:
+    """The sentence of a text at a place from 0 to 1."""
+    center = int(min(1.0, max(0.0, relative)) * max(0, len(text) - 1))
+    start = max(text.rfind(x, 0, center) for x in (". ", "! ", "? ", "\n"))
+    start = start + 1 if start >= 0 else 0
+    ends = [e for e in (text.find(x, center) for x in (". ", "! ", "? ", "\n")) if e >= 0]
+    return text[start : min(ends) + 1 if ends else len(text)].strip()[:most]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Messages of failures that are expected, not critical; and of those worth another try.
@@ -54,3 +54,16 @@ def availability(items: DataFrame, content: DataFrame, failures: DataFrame) -> D
     last = failures.groupBy("item_id").agg(F.max_by("error_message", "last_failed_at").alias("_error"))
     label = F.when(F.col("_has"), "available").when(F.col("_error").like(PLACEHOLDER), "offline_placeholder").when(F.col("_error").isNotNull(), "extract_failed").otherwise("available")
     return items.join(has, "item_id", "left").join(last, "item_id", "left").withColumn("availability", label).drop("_has", "_error")
+
+
+def query_counters(log: DataFrame) -> DataFrame:
+    """One row of counts over a log of searches (rewrite_applied, admitted, suppressed)."""
+    return log.agg(
+        F.count("*").alias("searches"), F.count_if("rewrite_applied").alias("rewrites_applied"), F.sum("admitted").cast("long").alias("semantic_admitted"), F.sum("suppressed").cast("long").alias("semantic_suppressed")
+    )
+
+
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """`df` that counts as it runs: rows, and rows for each condition. Read `observation.get` after an action."""
+    observation = Observation(name)
+    return df.observe(observation, F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in counters.items())), observation

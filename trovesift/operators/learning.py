@@ -117,7 +117,46 @@ def train(samples: DataFrame, weights: list[float], bias: float, s: Settings = D
     return samples.groupBy(F.lit("batch")).applyInPandas(lambda rows: run(rows), "weights array<double>, bias double")
 
 
-def promote(active: dict, candidate: dict, examples: int, positives: int, least: int = 20) -> str | None:
+def features(hit: dict[str, Column], kind: Column, router: Column, need: Column, rank: Column, tokens: Column, focused: Column) -> Column:
+    """The 13 features of a shown hit: its signals (semantic, cross, feedback, frequency, context, score), the query's class, router and need, its rank and length."""
+    between = lambda x, low, high: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x.cast("double")))
+    is_ = lambda name: (kind == name).cast("double")
+    return F.array(
+        between(hit["semantic"], 0, 1), between(hit["cross"], 0, 1), between(hit["feedback"] / 25, 0, 2), between(hit["frequency"] / 30, 0, 2),
+        between(hit["context"] / 25, -2, 2) + F.when(focused, 0.1).otherwise(0.0), between(need, 0, 1), between(router, 0, 1),
+        is_("path_or_code"), is_("natural_language"), is_("short_ambiguous"), 1.0 / F.greatest(F.lit(1), rank + 1), between(tokens / 8, 0, 2), F.tanh(hit["score"] / 300),
+    )
+
+
+def exposures(shown: DataFrame, now: Column, most: int = 20) -> DataFrame:
+    """Rows to log for shown results (query, item_id, rank from 0, features, context, digest): the first `most` of each query, unlabelled, weighted by inverse propensity."""
+    top = shown.where(F.col("rank") < most)
+    return top.select(
+        F.sha2(F.concat_ws("|", "query", F.col("item_id").cast("string"), F.col("rank").cast("string"), now.cast("string")), 256).alias("exposure_id"),
+        "query", "item_id", "rank", "features", "context", "digest", now.alias("created_at"), F.lit(None).cast("int").alias("label"),
+        exposure_weight(F.col("rank") + 1).alias("weight"), F.lit(False).alias("consumed"),
+    )
+
+
+def training_mix(fresh: DataFrame, replay: DataFrame, most: int, share: float = 0.5) -> DataFrame:
+    """Fresh examples and, up to `share` of `most` beside them, replayed ones that aren't among them; both the first by a seeded hash. `origin` tells which."""
+    top = lambda df, n: df.orderBy(F.xxhash64(F.lit("mix"), "sample_id"), "sample_id").limit(n)
+    kept = int(most * share)
+    again = top(replay.join(fresh.select("sample_id"), "sample_id", "left_anti"), kept).withColumn("origin", F.lit("replay"))
+    return top(fresh, most - kept).withColumn("origin", F.lit("fresh")).unionByName(again)
+
+
+def measures(scored: DataFrame) -> DataFrame:
+    """(n, positives, loss, failures, saturation) of rows (label, weight, p): shares of predictions that aren't numbers, and that are all but certain."""
+    odd = F.col("p").isNull() | F.isnan("p")
+    sound = F.when(odd, 0.5).otherwise(F.col("p"))
+    return scored.withColumn("q", sound).agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"), log_loss(F.col("q"), F.col("label"), F.col("weight")).alias("loss"),
+        (F.count_if(odd) / F.count("*")).alias("failures"), (F.count_if((F.col("q") < 0.01) | (F.col("q") > 0.99)) / F.count("*")).alias("saturation"),
+    )
+
+
+def promote(active: dict, candidate: dict, examples: int, positives: int, least: int = 20, latency_ms: float = 0.0, most_latency_ms: float = 35.0, most_regression: float = 0.0) -> str | None:
     """None if the candidate takes over, else the reason why not; measures: loss, failures, saturation."""
     if examples < max(20, least):
         return "too_few_examples"
@@ -125,6 +164,10 @@ def promote(active: dict, candidate: dict, examples: int, positives: int, least:
         return "too_few_positives"
     if not np.isfinite(candidate["loss"]):
         return "invalid_loss"
+    if latency_ms > most_latency_ms:
+        return "latency"
+    if candidate["loss"] > active["loss"] + most_regression:
+        return "regression"
     if candidate.get("failures", 0) > 0.05:
         return "failure_rate"
     if candidate.get("saturation", 0) > 0.98:
@@ -132,10 +175,47 @@ def promote(active: dict, candidate: dict, examples: int, positives: int, least:
     return None if candidate["loss"] + 0.002 < active["loss"] else "no_improvement"
 
 
-def admit_events(events: DataFrame, consent: bool, types: list[str], denied: list[str]) -> DataFrame:
-    """Behaviour events that may be kept: consent, captured types, no denied app, no privacy flag."""
+def attribution_gate(positives: int, attributed: float, tied: float, least: int = 80) -> str | None:
+    """Why positives can't be trusted yet: too few, too few attributed to an exposure, or too few by context and digest."""
+    if positives < least:
+        return "too_few_positives"
+    if attributed < 0.5:
+        return "attribution_rate"
+    return "context_digest_rate" if tied < 0.1 else None
+
+
+def cycle(examples: DataFrame, replay: DataFrame, weights: list[float], bias: float, now: Column, consent: bool, least: int = 60, most: int = 1200, s: Settings = DEFAULTS) -> dict:
+    """One learning cycle: consent, fresh examples, a mix with replayed ones, a balanced batch, training, the holdout's gate.
+
+    examples (sample_id, features, label, weight, created_at, consumed), replay (sample_id,
+    features, label, weight). Gives the verdict, the weights to use from now on, the sample_ids
+    that are consumed, and the next reservoir. Only batches bounded by `most` are gathered.
+    """
+    out = {"promoted": False, "weights": weights, "bias": bias, "consumed": None, "reservoir": replay}
+    if not consent:
+        return out | {"reason": "no_consent"}
+    columns = ["sample_id", "features", "label", "weight"]
+    mixed = training_mix(fresh_examples(examples, now).select(*columns), replay.select(*columns), most)
+    batch = sample_batch(mixed, most).select(*columns)
+    if batch.count() < least:
+        return out | {"reason": "too_few_samples"}
+    split = split_holdout(batch, "sample_id")
+    trained = train(split.where("not is_holdout"), weights, bias, s).first()
+    held = split.where("is_holdout")
+    measured = [measures(held.withColumn("p", linear(F.col("features"), list(w), b))).first().asDict() for w, b in ((weights, bias), (trained.weights, trained.bias))]
+    counts = batch.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives")).first()
+    reason = promote(*measured, counts.n, counts.positives)
+    out |= {"reason": reason or "promoted", "active": measured[0], "candidate": measured[1], "consumed": batch.select("sample_id"), "reservoir": reservoir(replay.select(*columns).unionByName(batch), "sample_id", 512)}
+    if reason is None:
+        out |= {"promoted": True, "weights": list(trained.weights), "bias": float(trained.bias)}
+    return out
+
+
+def admit_events(events: DataFrame, consent: bool, types: list[str], denied: list[str], keep_hashes: bool = True, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """Behaviour events that may be kept: consent, captured types, no denied app, no privacy flag. Columns `hashes` are blanked unless they may be kept."""
     rule = F.lit(consent) & F.col("event_type").isin(*types) & ~F.coalesce(F.col("app").isin(*denied), F.lit(False)) & ~F.coalesce(F.col("private"), F.lit(False))
-    return events.where(rule)
+    kept = events.where(rule)
+    return kept if keep_hashes or not hashes else kept.withColumns({c: F.lit(None).cast(kept.schema[c].dataType) for c in hashes})
 
 
 def fresh_examples(examples: DataFrame, now: Column, stale: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from trovesift.catalog import query
 from trovesift.operators import answers as A
 from trovesift.operators import merge
 from trovesift.plans.lexical import index
-from trovesift.plans.relations import CONTENT, as_of, content, feedback, items, table, vectors, with_
+from trovesift.plans.relations import CONTENT, EXTENSIONS, ITEMS, as_of, content, feedback, items, table, vectors, with_
 from trovesift.plans.vectors import _query_vector
 
 
@@ -42,3 +42,25 @@ def cascade_two_pass(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """Both sides, fused and boosted; its parts have oracles of their own."""
     return A.hybrid_search(index(spark, sf_dir), items(spark, sf_dir), vectors(spark, sf_dir), merge.open_counts(feedback(spark, sf_dir)), "report from january in my documents with pdf", _query_vector(spark, sf_dir), as_of())
+
+
+@query(with_(ITEMS) + """, r AS (SELECT item_id, extension, name, path, size, row_number() OVER (PARTITION BY extension ORDER BY size DESC, item_id) AS n FROM items),
+q AS (SELECT *, 'best ' || extension AS query, 1 / (1 + exp(-(item_id % 9 - 4))) AS p FROM r WHERE n <= 40)
+SELECT query, item_id, name || ' | ' || regexp_extract(path, '^(.*)/', 1) || ' | a hit of ' || name AS document, round(CASE WHEN p >= 0.1 THEN 35.0 * p ELSE 0.0 END, 6) AS boost FROM q""")
+def rerank_pairs(spark, sf_dir):
+    """Each query with its best hits, as texts for a reranker, and the boost that a logit gives."""
+    i = items(spark, sf_dir)
+    hits = i.select(F.col("extension").alias("query_id"), "item_id", F.col("size").alias("score"), "name", "path", F.concat(F.lit("a <b>hit</b> of "), "name").alias("snippet"))
+    queries = spark.createDataFrame([(x, f"best {x}") for x in EXTENSIONS], "query_id string, query string")
+    return A.rerank_pairs(queries, hits).select("query", "item_id", "document", F.round(A.cross_boost((F.col("item_id") % 9 - 4).cast("double"), 35.0), 6).alias("boost"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, list_reverse(list_transform(embedding, lambda x: x::DOUBLE)) AS b FROM embeddings),
+s AS (SELECT vec_id, a, b, unnest(range(1, 65)) AS s FROM v), p AS (SELECT vec_id, s, unnest(range(s, least(64, s + 30) + 1)) AS e, a, b FROM s),
+r AS (SELECT vec_id, s, e, a[s] + b[e] AS score, row_number() OVER (PARTITION BY vec_id ORDER BY a[s] + b[e] DESC, s, e) AS n FROM p)
+SELECT vec_id, s - 1 AS first, e - 1 AS last, round(score, 6) AS score, round(1 / (1 + exp(-score / 6)), 6) AS confidence FROM r WHERE n = 1""")
+def answer_span(spark, sf_dir):
+    """The best span by start and end logits; vectors stand for them."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = vectors(spark, sf_dir).select("item_id", A.best_span(v, F.reverse(v)).alias("s"))
+    return rows.select(F.col("item_id").alias("vec_id"), "s.first", "s.last", F.round("s.score", 6).alias("score"), F.round("s.confidence", 6).alias("confidence"))

@@ -115,3 +115,51 @@ def fresh_training(spark, sf_dir):
     label = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 0)
     e = _events(spark, sf_dir).select("event_id", label.alias("label"), F.col("at").alias("created_at"), (F.col("event_id") % 3 == 0).alias("consumed"))
     return L.fresh_examples(e, as_of(), 1_000_000).select("event_id", "label")
+
+
+def _shown(spark, sf_dir):
+    """Views as shown results: a rank within the user, and the 13 features."""
+    from trovesift.operators.merge import top_per_group
+
+    e = top_per_group(_events(spark, sf_dir).where("event_type = 'view'"), "user_id", [F.desc("value"), F.asc("event_id")], 25).withColumn("k", F.coalesce("k", F.lit(0)))
+    i, v = F.col("event_id"), F.col("value")
+    hit = {"semantic": v / 100, "cross": F.col("k") / 10.0, "feedback": i % 60, "frequency": i % 90, "context": i % 120 - 60, "score": v * 5}
+    kind = F.when(i % 3 == 0, "path_or_code").when(i % 3 == 1, "natural_language").otherwise("short_ambiguous")
+    features = L.features(hit, kind, F.lit(0.88), F.lit(0.68), F.col("rank") - 1, i % 20, i % 2 == 0)
+    return e.select(F.col("event_id"), F.col("user_id").cast("string").alias("query"), "item_id", (F.col("rank") - 1).alias("rank"), features.alias("features"), F.lit("c").alias("context"), F.lit("d").alias("digest"))
+
+
+_SHOWN = f"""{_E}, v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank FROM e WHERE event_type = 'view'),
+f AS (SELECT event_id, user_id, item_id, rank, [least(1.0, greatest(0.0, value / 100)), least(1.0, coalesce(k, 0) / 10.0), least(2.0, (event_id % 60) / 25.0), least(2.0, (event_id % 90) / 30.0),
+  least(2.0, greatest(-2.0, (event_id % 120 - 60) / 25.0)) + CASE WHEN event_id % 2 = 0 THEN 0.1 ELSE 0.0 END, 0.68, 0.88, CAST(event_id % 3 = 0 AS INT), CAST(event_id % 3 = 1 AS INT), CAST(event_id % 3 = 2 AS INT),
+  1.0 / (rank + 1), least(2.0, (event_id % 20) / 8.0), (exp(2 * value * 5 / 300) - 1) / (exp(2 * value * 5 / 300) + 1)] AS x FROM v WHERE rank < 25)"""
+
+
+@query(f"WITH {_SHOWN} SELECT event_id, " + ", ".join(f"round(x[{k + 1}], 6) AS f{k}" for k in range(13)) + " FROM f")
+def feature_vector(spark, sf_dir):
+    """The 13 features of shown hits."""
+    return _shown(spark, sf_dir).select("event_id", *(F.round(F.col("features")[k].cast("double"), 6).alias(f"f{k}") for k in range(L.FEATURES)))
+
+
+@query(f"WITH {_SHOWN} SELECT CAST(user_id AS VARCHAR) AS query, item_id, rank, round(least(4.0, greatest(1.0, log2(rank + 3.0))), 6) AS weight, round(list_sum(x), 6) AS total, TRUE AS unlabelled FROM f WHERE rank < 20")
+def exposure_log(spark, sf_dir):
+    logged = L.exposures(_shown(spark, sf_dir), as_of())
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return logged.select("query", "item_id", "rank", F.round("weight", 6).alias("weight"), F.round(total, 6).alias("total"), (F.col("label").isNull() & ~F.col("consumed")).alias("unlabelled"))
+
+
+@query(f"""WITH {_E}, {_S}, h AS (SELECT *, 1 / (1 + exp(-z)) AS p FROM s)
+SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, round(avg(CASE WHEN label = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS loss, 0.0 AS failures,
+  round(count(*) FILTER (WHERE p < 0.01 OR p > 0.99) / count(*), 6) AS saturation FROM h""")
+def model_measures(spark, sf_dir):
+    """Loss, and the shares that the gates look at."""
+    s = _samples(spark, sf_dir).withColumn("p", L.linear(F.col("features"), _WEIGHTS, 0.05))
+    return L.measures(s).select("n", "positives", F.round("loss", 6).alias("loss"), F.round("failures", 6).alias("failures"), F.round("saturation", 6).alias("saturation"))
+
+
+@query()
+def learning_cycle(spark, sf_dir):
+    """One whole cycle, over batches that its caps bound; tests hold its steps."""
+    examples = _samples(spark, sf_dir).select("sample_id", "features", "label", "weight", F.lit(0).alias("created_at"), F.lit(False).alias("consumed"))
+    out = L.cycle(examples.where("sample_id % 2 = 0"), _samples(spark, sf_dir).where("sample_id % 2 = 1"), _WEIGHTS, 0.05, as_of(), True)
+    return spark.createDataFrame([(out["reason"], out["promoted"], [float(w) for w in out["weights"]], out["consumed"].count(), out["reservoir"].count())], "reason string, promoted boolean, weights array<double>, consumed long, reservoir long")

@@ -47,6 +47,39 @@ class VersionedTable:
         return self.write(self.spark.createDataFrame([], self.schema))
 
 
+    def append(self, rows: DataFrame) -> int:
+        """Rows beside those that are there; a key that is there already, by all columns, isn't doubled by a repeated append."""
+        now = self.read()
+        return self.write(now.unionByName(rows.select(*now.columns).join(now, now.columns, "left_anti")))
+
+
+#: Schema versions of the catalog: columns that a version adds, with the value that older rows get.
+MIGRATIONS: dict[int, dict[str, tuple[str, object]]] = {
+    2: {"is_pinned": ("boolean", False)},
+    3: {"sensitivity": ("string", "normal"), "content_hash": ("string", None)},
+    4: {"indexed_at": ("long", 0)},
+}
+
+
+def migrate(df: DataFrame, version: int, target: int | None = None, steps: dict[int, dict[str, tuple[str, object]]] | None = None) -> tuple[DataFrame, int]:
+    """`df` of a schema version brought to `target` (the latest), step by step; columns that are there stay. Going back is refused."""
+    steps = MIGRATIONS if steps is None else steps
+    target = max(steps) if target is None else target
+    if target < version:
+        raise ValueError(f"version {version} can't go back to {target}")
+    for step in range(version + 1, target + 1):
+        for name, (kind, value) in steps.get(step, {}).items():
+            if name not in df.columns:
+                df = df.withColumn(name, F.lit(value).cast(kind))
+    return df, target
+
+
+def clear_all(*tables: VersionedTable) -> None:
+    """Empty all tables that are derived from feedback."""
+    for one in tables:
+        one.clear()
+
+
 class VectorStore:
     """Vectors by generation in partitions, and which one is active."""
 
@@ -85,3 +118,15 @@ def load_settings(spark: SparkSession, path: str) -> Settings:
     found = json.loads(spark.read.text(path).first().value)
     names = {f.name: f for f in fields(Settings)}
     return replace(DEFAULTS, **{k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in names})
+
+
+def remove_setting(spark: SparkSession, path: str, key: str) -> bool:
+    """Take one setting back to its default; whether it was set."""
+    found = json.loads(spark.read.text(path).first().value)
+    if key not in found:
+        return False
+    del found[key]
+    fresh = f"{path}.new"
+    spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
+    spark.read.text(fresh).coalesce(1).write.mode("overwrite").text(path)
+    return True
