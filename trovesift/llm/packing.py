@@ -218,36 +218,52 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2,
     return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), function, schema, limit=1 << 20)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, dives: int = 4) -> DataFrame:
-    """`pieces` (doc_id, piece, length from 1 to capacity, ...) with sequence_id and offset (both long).
+def _plan_rows(plan: list[tuple[Filling, int]], counts: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (length, part, low, high, base, each, skip) that tell the pieces low to high - 1 of a length their places, and (length, width) of the parts.
 
-    Give it a table that reads the same each time (`materialize`): it is read twice.
-    Repeated rows are pieces like any other.
+    The numbers of a length are cut into parts of its mean run, so that a piece meets about
+    two rows, however many runs its length has. A plan has at most about `capacity`
+    fillings, as each one uses up a length, so there are some ten thousand rows at most.
     """
-    spark = pieces.sparkSession
-    counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan, used, first = [], dict.fromkeys(counts, 0), 0
-    for filling, bins in bin_completion(counts, capacity, dives):
+    runs: dict[int, list[tuple]] = {}
+    used, first = dict.fromkeys(counts, 0), 0
+    for filling, bins in plan:
         offset = 0
         for length, n in filling:
-            plan.append((length, used[length], used[length] + n * bins, first, n, offset))
+            runs.setdefault(length, []).append((used[length], used[length] + n * bins, first, n, offset))
             used[length] += n * bins
             offset += n * length
         first += bins
-    schema = "length long, low long, high long, base long, each long, skip long"
-    table = spark.createDataFrame(plan, schema)
+    widths = {length: max(1, counts[length] // len(rows)) for length, rows in runs.items()}
+    rows = [(length, part, *run) for length, own in runs.items() for run in own for part in range(run[0] // widths[length], (run[1] - 1) // widths[length] + 1)]
+    return rows, list(widths.items())
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, dives: int = 4) -> DataFrame:
+    """`pieces` (doc_id, piece, length from 1 to capacity, ...) with sequence_id and offset (both long).
+
+    Give it a table that reads the same each time (`materialize`): it is read twice.
+    Repeated rows are pieces like any other; a column `_row` that tells rows apart spreads
+    them over the tasks that number them.
+    """
+    spark = pieces.sparkSession
+    counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rows, widths = _plan_rows(bin_completion(counts, capacity, dives), counts)
+    plan = spark.createDataFrame(rows, "length long, _part long, low long, high long, base long, each long, skip long")
+    width = spark.createDataFrame(widths, "length long, _width long")
     buckets = max(32, sum(counts.values()) // NUMBERED + 1)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    key = ["_row"] if "_row" in pieces.columns else ["doc_id", "piece"]
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    starts = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")).join(F.broadcast(width), "length")
+    order = Window.partitionBy("length", "_bucket").orderBy(*key)
     numbered = dealt.withColumn("_own", F.row_number().over(order) - 1).join(starts, ["length", "_bucket"])
-    numbered = numbered.withColumn("_index", F.col("_own") + F.col("_before"))
-    placed = numbered.join(F.broadcast(table), "length").where("_index >= low and _index < high")
+    numbered = numbered.withColumn("_index", F.col("_own") + F.col("_before")).withColumn("_part", F.floor(F.col("_index") / F.col("_width")).cast("long"))
+    placed = numbered.join(F.broadcast(plan), ["length", "_part"]).where("_index >= low and _index < high")
     nth = F.col("_index") - F.col("low")
     return placed.select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c != "_row"),
         (F.col("base") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("skip") + F.pmod(nth, F.col("each")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -260,4 +276,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int =
     often as they occur, null doc_ids too; extra columns are ignored; an empty table
     gives an empty result.
     """
-    return pack_pieces(materialize(token_pieces(docs, path, capacity, end), "pieces"), capacity, dives)
+    pieces = token_pieces(docs, path, capacity, end).withColumn("_row", F.monotonically_increasing_id())  # written with the rows, so it stays
+    return pack_pieces(materialize(pieces, "pieces"), capacity, dives)
