@@ -69,6 +69,56 @@ def test_language_odd_rows(spark, odd, empty):
     assert alone[0][0] == together[0][1] and alone[1][0] == pytest.approx(together[1][1], abs=1e-9)
 
 
+def naive_mix(x):
+    mask = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & mask
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def naive_language(model, text):
+    """The prediction, gram by gram: the language, its score, and the margins."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    data = [32, *(fold(b) for b in (text or "").encode()), 32, 32, 32, 32]
+    total, used = np.zeros(len(model.bias)), 0
+    shift = 65 - langid.DIMENSIONS.bit_length()
+    for k in range(len(data)):
+        code = 0
+        for n in range(1, 5):
+            if data[k] == 32 and (k + 1 >= len(data) or data[k + 1] == 32):
+                continue
+            code = (code * 257 + (data[k + n - 1] if k + n - 1 < len(data) else 32) + 1) & ((1 << 64) - 1)
+            total += model.weights[max(1, naive_mix((code * 8 + n) & ((1 << 64) - 1)) >> shift)]
+            used += 1
+    margins = total / max(1, used) + model.bias
+    chance = 1 / (1 + np.exp(-np.clip(model.slope * margins, -30, 30)))
+    shares = chance[: len(model.families)] / chance[: len(model.families)].sum()
+    family = model.families[int(shares.argmax())] if len(model.families) > 1 else model.families[0]
+    members = [x for x in model.languages if langid.family_of(x) == family]
+    votes, odds = dict.fromkeys(members, 0.0), dict.fromkeys(members, 0.0)
+    for k, (a, b) in enumerate(model.pairs):
+        if a in votes:
+            p = chance[len(model.families) + k]
+            votes[a], votes[b] = votes[a] + p, votes[b] + 1 - p
+            odds[a], odds[b] = odds[a] + (1 - p) / p, odds[b] + p / (1 - p)
+    coupled = {m: 1 / (1 + odds[m]) for m in members}
+    best = max(members, key=lambda m: votes[m])
+    return best, shares[model.families.index(family)] * coupled[best] / sum(coupled.values()), margins
+
+
+def test_language_scores_against_brute_force(spark, data):
+    docs = shared.documents(spark, data)
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.select("text").limit(25).collect()] + ["Ünï çødé — 12 ab", "x", "a  b\n\nc"]
+    margins = model.margins(pa.array(texts))
+    for text, label, score, own in zip(texts, *model.predict(pa.array(texts)), margins, strict=True):
+        if label != langid.UNKNOWN:
+            want, share, exact = naive_language(model, text)
+            assert own == pytest.approx(exact, abs=1e-4) and label == want and score == pytest.approx(share, abs=1e-3)
+
+
 def related(members, seed=3, words=80):
     """A trainer's rows and fresh texts of languages that share half of their words."""
     rnd = random.Random(seed)
@@ -320,6 +370,36 @@ def test_quality_odd_rows(odd, empty):
     assert model.score(pa.array(texts)) == pytest.approx(np.concatenate([model.score(pa.array([t], pa.string())) for t in texts]))
 
 
+def test_quality_scores_against_brute_force():
+    """Means of bucket weights, feature by feature."""
+    rng = np.random.default_rng(3)
+    model = quality_clf.QualityModel(np.concatenate([[0.0], rng.normal(size=quality_clf.BUCKETS - 1)]), -0.2)
+    texts = ["good words 12 here here.", "x", "", "tab\tnew\nline  ünï $$$ ###", "a b " * 50]
+    shift, mask = 65 - quality_clf.BUCKETS.bit_length(), (1 << 64) - 1
+    for text, got in zip(texts, model.score(pa.array(texts)), strict=True):
+        data = bytes(0x30 if 0x30 <= b <= 0x39 else 0x20 if 9 <= b <= 13 else b for b in text.encode())
+        words = [w for w in data.split(b" ") if w]
+        ends = np.cumsum([len(w) for w in words]).astype(int)
+        hashes = [int(h) for h in textops.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)] if words else []
+        ids = [naive_mix((h + 1) & mask) >> shift for h in hashes]
+        ids += [1 if a == b else naive_mix((b * textops.BASE + a) & mask) >> shift for a, b in zip(hashes[:-1], hashes[1:], strict=True)]
+        for n in quality_clf.GRAMS:
+            for k in range(len(data) - n + 1):
+                code = n
+                for b in data[k : k + n]:
+                    code = (code * 257 + b) & mask
+                ids.append(naive_mix(code) >> shift)
+        ids = [max(1, i) for i in ids]
+        mean = np.mean([model.weight[i] for i in ids]) if ids else 0.0
+        assert got == pytest.approx(1 / (1 + np.exp(-(mean + model.bias))), abs=1e-9)
+
+
+def test_quality_sample_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (2, 7), (None, 1)], "doc_id long, quality int")
+    assert quality_clf.labelled_sample(docs, labels) == [("a", 1), ("c", 0)]
+
+
 # 7
 
 

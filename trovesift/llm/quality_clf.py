@@ -117,7 +117,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000) -> lis
     order = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30))
     share = min(1.0, (2 * most + 50) / max(1, known.count()))  # enough rows to find the first by hash among, not all
     chosen = known.where(order <= int(share * (1 << 30))).orderBy(order, "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "text", "quality").collect()
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # one text of an id, however often it occurs
     return [(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text))]
 
 
