@@ -1,8 +1,12 @@
 """Operators of the engine against plain Python."""
 
+import datetime as dt
+import io
 import itertools
 import random
 import unicodedata
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -11,8 +15,9 @@ from pyspark.sql import functions as F
 from trovesift import catalog
 from trovesift.functions import text
 from trovesift.operators import answers, embedding, fulltext, health, indexing, learning, requests, rewrite, understanding, vector
-from trovesift.sources import stores
+from trovesift.sources import files, readers, stores
 from trovesift.sources.scratch import shared_folder
+from trovesift.streaming import pipelines
 
 
 def cuts(s, target=1000, least=500, most=2000):
@@ -264,3 +269,85 @@ def test_lanes_share_slots(spark):
     work = spark.createDataFrame([("p", k, "live" if k % 2 else "rebuild") for k in range(400)], "path string, seq long, lane string")
     rows = indexing.lanes(work).orderBy("slot").collect()
     assert len({r.slot for r in rows}) == 400 and sum(r.lane == "live" for r in rows[:100]) == 70
+
+
+def zipped(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, body in parts.items():
+            archive.writestr(name.replace("__", "/").replace("_xml", ".xml"), body)
+    return out.getvalue()
+
+
+def a_pdf(pages, flate=True):
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [] >>"}
+    for k, text in enumerate(pages):
+        content = f"BT /F1 12 Tf 72 700 Td ({text}) Tj ET".encode("latin-1")
+        packed = zlib.compress(content) if flate else content
+        objects[10 + 2 * k] = f"<< /Type /Page /Contents {11 + 2 * k} 0 R >>".encode()
+        objects[11 + 2 * k] = b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(packed), b"/Filter /FlateDecode " if flate else b"", packed)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+def test_readers():
+    w = 'xmlns:w="http://w"'
+    body = f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p><w:r><w:t>Three</w:t></w:r></w:p></w:body></w:document>"
+    assert readers.docx(zipped(word__document_xml=body)) == ("ok", "One\ttwo\nThree", None)
+    assert readers.odt(zipped(content_xml='<d xmlns:t="http://t"><t:h>Head</t:h><t:p>a<t:s/>b <t:span>c</t:span> d</t:p></d>'))[1] == "Head\na b c d"
+    assert readers.pptx(zipped(ppt__slides__slide2_xml="<s><p>two</p></s>", ppt__slides__slide10_xml="<s><p>ten</p></s>"))[1] == "two\n\nten"
+    sheet = '<s><row><c t="s"><v>1</v></c><c><v>3.5</v></c></row><row/><row><c t="inlineStr"><is><t>x</t></is></c></row></s>'
+    assert readers.xlsx(zipped(xl__sharedStrings_xml="<s><si><t>a</t></si><si><t>b b</t></si></s>", xl__worksheets__sheet1_xml=sheet))[1] == "b b\t3.5\nx"
+    assert readers.rtf(rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}Caf\'e9 \u8364? \b bold\b0 .\par next \{x\}}")[1] == "Café € bold.\nnext {x}"
+    assert readers.rtf(b"plain")[0] == "failed" and readers.pdf(b"plain")[0] == "failed"
+    for flate in (True, False):
+        assert readers.pdf(a_pdf(["Hello \\(you\\)", "Caf\\351"], flate))[1] == "--- Page 1 ---\nHello (you)\n\n--- Page 2 ---\nCafé"
+    assert readers.pdf(a_pdf(["x"]) + b"<< /Encrypt 5 0 R >>")[2] == "PDF is encrypted or password-protected"
+
+
+def test_extraction_by_extension(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_TEXT", 2000)
+    (tmp_path / "a.pdf").write_bytes(a_pdf(["page"]))
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_text("x" * 3000)
+    (tmp_path / "d.md").write_text("# t")
+    (tmp_path / "e.png").write_bytes(b"\0")
+    deep = tmp_path / "p" / "q" / "node_modules"
+    deep.mkdir(parents=True)
+    (deep / "f.txt").write_text("deep")
+    got = {r.path.rpartition("/")[2]: (r.status, r.text, r.error) for r in files.extract(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"][:2] == ("ok", "--- Page 1 ---\npage") and got["b.docx"][0] == "failed" and got["e.png"][0] == "unsupported"
+    assert got["c.txt"] == ("too_large", None, "File size 3000 exceeds configured limit 2000") and got["d.md"][1] == "# t"
+    names = lambda **k: {r.name for r in files.scan(spark, str(tmp_path), **k).collect()}
+    assert "f.txt" in names() and "f.txt" not in names(deepest=1) and names(deepest=1) >= {"a.pdf", "d.md"} and "f.txt" not in names(prune=True, roots=[str(tmp_path)])
+
+
+def test_understanding_as_a_whole():
+    now = dt.datetime(2024, 1, 31)
+    u = understanding.understand("signed lease agreement  for John Smith from december 2023 pdf", now)
+    assert (u.kind, u.type_hint, u.document, u.extensions[0]) == ("natural_language", "pdf", "legal_document", "pdf")
+    assert u.range == (dt.datetime(2023, 12, 1), dt.datetime(2023, 12, 31, 23, 59, 59)) and ("John Smith", "person") in u.entities and "lease" in u.words
+    assert understanding.prefilter("tax stuff in downloads", "/h") == ["/h/Downloads"]
+    assert understanding.prefilter("budget meeting notes", "/h") == ["/h/Documents", "/h/Desktop", "/h/Downloads"]
+    assert understanding.prefilter("src/main.cpp parse error", "/h") == [] == understanding.prefilter("x", "/h") == understanding.prefilter("budget meeting notes", "/h", filtered=True)
+
+
+def test_payload_has_all(spark):
+    from trovesift.config import DEFAULTS
+
+    path = shared_folder(spark, "payload")
+    stores.export_payload(spark, {"a": spark.range(3), "b": spark.range(2)}, DEFAULTS, path)
+    rows = spark.read.json(path)
+    assert {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()} == {"a": 3, "b": 2, "settings": 1}
+
+
+def test_changes_survive_lost_and_repeated_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "catalog")
+    schema = "path string, kind string, seq long"
+    spark.createDataFrame([("a", "new", 1), ("b", "new", 2)], schema).coalesce(1).write.parquet(f"{source}/0")
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
+    pipelines.merge_changes(stream(), out, str(tmp_path / "c1"))
+    pipelines.merge_changes(stream(), out, str(tmp_path / "c2"))  # a new checkpoint numbers from 0 again
+    assert spark.read.schema(schema).parquet(f"{out}/version=0").count() == 2
+    spark.createDataFrame([("a", "delete", 3), ("b", "modified", 1), ("c", "new", 4)], schema).coalesce(1).write.parquet(f"{source}/1")
+    pipelines.merge_changes(stream(), out, str(tmp_path / "c1"))
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(f"{out}/version=1").collect()} == {("b", "new", 2), ("c", "new", 4)}

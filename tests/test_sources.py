@@ -9,13 +9,13 @@ from trovesift.streaming import pipelines
 
 def test_scan_and_extract(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
-    for name, data in (("a.md", b"# x\r\n\r\n\r\n\r\ny"), ("b.txt", "caf\xe9".encode("latin-1")), ("c.txt", b"\x00\x01bin"), ("d.pdf", b"%PDF"), ("node_modules/e.js", b"x")):
+    for name, data in (("a.md", b"# x\r\n\r\n\r\n\r\ny"), ("b.txt", "caf\xe9".encode("latin-1")), ("c.txt", b"\x00\x01bin"), ("d.png", b"%PNG"), ("node_modules/e.js", b"x")):
         (tmp_path / name).write_bytes(data)
     found = {r.name: r for r in files.scan(spark, str(tmp_path)).collect()}
     assert found["a.md"].kind == "markdown" and found["e.js"].verdict == "exclude" and found["b.txt"].size == 4
     texts = {r.path.rpartition("/")[2]: r for r in files.extract(spark, str(tmp_path)).collect()}
     assert texts["a.md"].text == "# x\n\ny" and texts["b.txt"].text == "café"
-    assert texts["c.txt"].status == "unsupported" and texts["d.pdf"].status == "unsupported"
+    assert texts["c.txt"].status == "unsupported" and texts["d.png"].status == "unsupported"
 
 
 def test_versioned_table(spark, tmp_path):
@@ -47,4 +47,4 @@ def test_merge_stream(spark, tmp_path):
     rows = [("a", "new", 1), ("a", "modified", 2), ("b", "new", 3), ("b", "delete", 4)]
     spark.createDataFrame(rows, "path string, kind string, seq long").write.parquet(source)
     pipelines.merge_changes(pipelines.stream_table(spark, source), out, str(tmp_path / "c"))
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/version=0").collect()] == [("a", "modified")]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/version=0").collect()] == [("a", "modified", 2)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trovesift.config import DEFAULTS, Settings
 from trovesift.functions import scoring as S
-from trovesift.functions.paths import directory
+from trovesift.functions.paths import directory, matches_any
 from trovesift.operators import fulltext, understanding, vector
 
 
@@ -55,12 +55,16 @@ def cascade(hits: DataFrame, fast: Column, strong: Column, semantic: Column | No
     return again.withColumn("score", F.col("score") + F.col("strong")).drop("lead")
 
 
-def hybrid_search(chunks: DataFrame | fulltext.Index, items: DataFrame, vectors: DataFrame, opens: DataFrame, query: str, embedding: list[float], now: Column, filters: Column | None = None, limit: int = 20, s: Settings = DEFAULTS, rerank: Callable | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame | fulltext.Index, items: DataFrame, vectors: DataFrame, opens: DataFrame, query: str, embedding: list[float], now: Column, filters: Column | None = None, limit: int = 20, s: Settings = DEFAULTS, rerank: Callable | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Ranked items (item_id, path, category, fused, boosts, score) for one query: one plan from candidates to the top.
 
     The query is understood on the driver; candidates of both sides are top-k lists, so
     what is joined with the catalog is bounded by their limits. `chunks` may be an index.
     """
+    limit = min(200, max(1, limit))
+    if ignored:  # patterns may be newer than the index
+        keep = ~matches_any(F.col("path"), ignored)
+        filters = keep if filters is None else filters & keep
     allowed = items if filters is None else items.where(filters)
     found = fulltext.ranked(chunks, fulltext.sanitize_relaxed(query), every=False, settings=s)  # statistics are the whole corpus's, whatever the filters
     lexical = fulltext.best_chunks(found if filters is None else found.join(allowed.select("item_id"), "item_id", "left_semi"))

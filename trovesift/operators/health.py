@@ -67,3 +67,14 @@ def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, O
     """`df` that counts as it runs: rows, and rows for each condition. Read `observation.get` after an action."""
     observation = Observation(name)
     return df.observe(observation, F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in counters.items())), observation
+
+
+def service_health(counts: DataFrame, vectors: int, rebuilding: bool = False, indexer: bool = True) -> DataFrame:
+    """The row of `index_health` with the status of the whole service, which of four holds first, and the share of items with vectors (100 if there are no items)."""
+    status = F.when(F.lit(rebuilding), "rebuilding").when(F.lit(not indexer), "indexer_unavailable").otherwise(F.col("status"))
+    share = F.when(F.col("n_items") == 0, 100.0).otherwise(100.0 * vectors / F.col("n_items"))
+    return counts.withColumn("overall_status", status).withColumn("semantic_coverage", F.round(share, 6))
+
+
+def recent_errors(failures: DataFrame, most: int = 25) -> DataFrame:
+    return failures.orderBy(F.desc("last_failed_at"), "item_id").limit(most)

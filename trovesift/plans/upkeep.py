@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from trovesift.catalog import query
 from trovesift.operators import health as H
 from trovesift.operators import indexing as X
-from trovesift.plans.relations import ITEMS, items, table, with_
+from trovesift.plans.relations import CONTENT, FAILURES, ITEMS, content, failures, items, table, with_
 from trovesift.sources import stores
+from trovesift.streaming.pipelines import classify
 
 _KIND = "CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END"
 
@@ -73,3 +74,19 @@ def change_states(spark, sf_dir):
     i = items(spark, sf_dir).select("item_id", "path", "size", "extension", F.unix_timestamp("modified_at").alias("mtime"), F.md5("path").alias("hash"))
     c = F.col
     return X.detect_changes(i.drop("item_id", "extension"), i.where("item_id % 10 <> 0"), c("s.extension") == "png", c("s.extension") == "pdf", c("s.item_id") % 11 == 3)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_type = 'error' THEN 'delete' WHEN event_id % 5 = 0 THEN 'rescan' WHEN event_type = 'view' THEN 'new' WHEN event_type = 'click' THEN 'modified' WHEN event_type = 'signup' THEN 'new' ELSE 'rescan' END AS kind FROM events""")
+def change_kinds(spark, sf_dir):
+    """Kinds of changes from their flags."""
+    e, t = F.col("event_id"), F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_id", classify(e % 7 != 0, t == "error", t == "view", t == "click", t == "signup", e % 5 == 0).alias("kind"))
+
+
+@query(with_(ITEMS, CONTENT, FAILURES) + """SELECT 'indexer_unavailable' AS overall_status, round(100.0 * (SELECT count(*) FROM embeddings) / count(*), 6) AS semantic_coverage,
+  (SELECT count(*) FROM (SELECT * FROM failures ORDER BY last_failed_at DESC, item_id LIMIT 25)) AS n_recent FROM items""")
+def service_health(spark, sf_dir):
+    f = failures(spark, sf_dir)
+    counts = H.index_health(items(spark, sf_dir), content(spark, sf_dir), f)
+    row = H.service_health(counts, table(spark, sf_dir, "embeddings").count(), indexer=False)
+    return row.select("overall_status", "semantic_coverage").withColumn("n_recent", F.lit(H.recent_errors(f).count()).cast("long"))

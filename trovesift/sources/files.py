@@ -9,23 +9,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovesift.functions import paths, text
+from trovesift.sources.readers import READERS
 
 MOST_TEXT = 50 << 20
 PROBE = 8192
+#: Folders below the root that a scan goes down at most.
+DEEPEST = 64
 SCHEMA = "path string, status string, text string, error string"
 
 
-def scan(spark: SparkSession, root: str, ignored=(), roots=()) -> DataFrame:
-    """(path, name, extension, size, modified_at, kind, verdict, sensitivity) of the files below `root`; contents aren't read."""
+def scan(spark: SparkSession, root: str, ignored=(), roots=(), prune: bool = False, deepest: int = DEEPEST) -> DataFrame:
+    """(path, name, extension, size, modified_at, kind, verdict, sensitivity) of the files below `root`; contents aren't read.
+
+    Files more than `deepest` folders down are left out and, with `prune`, those in excluded folders.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
     path = F.regexp_replace("path", "^file:(?://)?", "")
     files = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     name = paths.base_name(F.col("path"))
     extension = F.when(name.rlike(r".\.[^.]+$"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).otherwise("")
-    return files.select(
+    top = F.regexp_replace(F.lit(root.rstrip("/")), "^file:(?://)?", "")
+    depth = F.size(F.split(F.col("path"), "/")) - F.size(F.split(top, "/")) - 1
+    found = files.where(depth <= deepest).select(
         "path", name.alias("name"), extension.alias("extension"), "size", "modified_at", paths.kind_of(extension).alias("kind"),
         paths.validate(F.col("path"), F.col("size"), ignored, roots).alias("verdict"), paths.sensitivity(F.col("path")).alias("sensitivity"),
     )
+    folder = F.concat(paths.directory(F.col("path")), F.lit("/"))
+    return found.where(paths.validate(folder, F.lit(0), ignored, roots) != "exclude") if prune else found
 
 
 def looks_like_text(data: bytes) -> bool:
@@ -51,8 +61,8 @@ def plain_text(data: bytes) -> tuple[str, str | None, str | None]:
     return "ok", decode(data), None
 
 
-#: Extractors by kind. Formats that need a tool or library of their own are registered by the user; without one they are "unsupported".
-EXTRACTORS: dict[str, Callable[[bytes], tuple[str, str | None, str | None]]] = {"text": plain_text, "code": plain_text, "markdown": plain_text}
+#: Extractors by extension or, beyond these, by kind. Formats that need a tool of their own (images, old office files) are registered by the user; without one they are "unsupported".
+EXTRACTORS: dict[str, Callable[[bytes], tuple[str, str | None, str | None]]] = {"text": plain_text, "code": plain_text, "markdown": plain_text, **READERS}
 
 
 def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> DataFrame:
@@ -60,7 +70,9 @@ def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> D
     known = dict(EXTRACTORS if extractors is None else extractors)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = files.select("path", paths.kind_of(extension).alias("kind"), "content")
+    by = F.when(extension.isin(*known), extension).otherwise(paths.kind_of(extension))
+    large = files.where(F.col("length") > MOST_TEXT).select("path", F.col("length").alias("size"))  # never loaded
+    files = files.where(F.col("length") <= MOST_TEXT).select("path", by.alias("kind"), "content")
 
     def run(batches):
         for rows in batches:
@@ -76,7 +88,8 @@ def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> D
                     out.append((path, "failed", None, str(error)[:500]))
             yield pd.DataFrame(out, columns=["path", "status", "text", "error"])
 
-    found = files.mapInPandas(run, SCHEMA)
+    limit = F.concat(F.lit("File size "), "size", F.lit(f" exceeds configured limit {MOST_TEXT}"))
+    found = files.mapInPandas(run, SCHEMA).unionByName(large.select("path", F.lit("too_large").alias("status"), F.lit(None).cast("string").alias("text"), limit.alias("error")))
     empty = (F.col("status") == "ok") & (F.length("text") == 0)
     cleaned: Column = text.clean(F.col("text"))
     return found.select("path", F.when(empty, "empty").otherwise(F.col("status")).alias("status"), cleaned.alias("text"), "error")

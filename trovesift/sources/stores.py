@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,13 @@ def export_json(df: DataFrame, path: str, newest: str | None = None) -> None:
     (df.orderBy(F.desc(newest)) if newest else df).write.mode("overwrite").json(path)
 
 
+def export_payload(spark: SparkSession, tables: dict[str, DataFrame], settings: Settings, path: str) -> None:
+    """All tables and the settings as JSON lines (kind, row) in one folder."""
+    rows = [df.select(F.lit(name).alias("kind"), F.to_json(F.struct("*")).alias("row")) for name, df in tables.items()]
+    rows.append(spark.createDataFrame([("settings", json.dumps(asdict(settings)))], "kind string, row string"))
+    reduce(DataFrame.unionByName, rows).write.mode("overwrite").json(path)
+
+
 def save_settings(spark: SparkSession, path: str, settings: Settings) -> None:
     spark.createDataFrame([(json.dumps(asdict(settings)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

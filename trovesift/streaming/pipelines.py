@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovesift.operators.indexing import coalesce_changes
@@ -52,14 +52,41 @@ def run_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "update")
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
+def classify(exists: Column, removed: Column, created: Column, modified: Column, renamed: Column, is_folder: Column) -> Column:
+    """The kind of a change from its flags: what isn't there any more is a delete, folders are scanned again."""
+    return (
+        F.when(removed | ~exists, "delete").when(is_folder, "rescan").when(created, "new").when(modified, "modified").when(renamed, "new").otherwise("rescan")
+    )
+
+
 def merge_changes(changes: DataFrame, catalog_path: str, checkpoint: str, key: str = "path") -> None:
-    """A change stream (path, kind, seq, ...) into a catalog of versioned folders: coalesce, merge, swap by batch id."""
+    """A change stream (path, kind, seq, ...) into a catalog of versioned folders: coalesce, merge, swap by batch id.
+
+    A batch builds on the last whole version before it, whichever that is, and a batch
+    that is there already isn't applied again. An older change than one that was merged
+    doesn't undo it: the last number of each path is kept.
+    """
     spark = changes.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    files = jpath(catalog_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = "path string, kind string, seq long"
+
+    def whole() -> list[int]:
+        if not files.exists(jpath(catalog_path)):
+            return []
+        names = [x.getPath().getName() for x in files.listStatus(jpath(catalog_path))]
+        return sorted(int(n[8:]) for n in names if n.startswith("version=") and files.exists(jpath(f"{catalog_path}/{n}/_SUCCESS")))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        now = coalesce_changes(batch).select("path", "kind")
-        before = f"{catalog_path}/version={batch_id - 1}"
-        state = spark.read.parquet(before) if batch_id else spark.createDataFrame([], "path string, kind string")
+        done = whole()
+        if batch_id in done:
+            return
+        last = max((v for v in done if v < batch_id), default=None)
+        state = spark.read.schema(schema).parquet(f"{catalog_path}/version={last}") if last is not None else spark.createDataFrame([], schema)
+        newest = batch.groupBy(key).agg(F.max("seq").alias("seq"))
+        now = coalesce_changes(batch).select(key, "kind").join(newest, key).select(key, "kind", "seq")
+        late = now.alias("n").join(state.alias("o"), key).where("n.seq < o.seq").select(key)
+        now = now.join(late, key, "left_anti")
         kept = upsert(state, now.where("kind <> 'delete'"), key).join(now.where("kind = 'delete'").select(key), key, "left_anti")
         kept.write.mode("overwrite").parquet(f"{catalog_path}/version={batch_id}")
 
