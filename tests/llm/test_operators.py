@@ -290,6 +290,14 @@ def test_rules_line_by_line(spark):
     assert r.cleaned_text == good + "\n" + other and r.kept
 
 
+def test_long_lines_are_prose(spark):
+    """A long line without an end mark, or about cookies, stays; words that only begin like a notice do."""
+    long = " ".join(f"word{k}" for k in range(60)) + " accept cookies here and go on"
+    rows = [(1, long), (2, "The log interest of a cookieless sign indicates a rise in trade between the two old towns on the river for many long years."), (3, long + "\nAccept cookies\n" + long + " again.")]
+    got = {r.doc_id: r for r in quality_rules.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].cleaned_text == long and got[2].kept and got[3].cleaned_text == long + "\n" + long + " again."
+
+
 # 5
 
 

@@ -14,7 +14,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-NOTICE = re.compile(r"(?:^|[^A-Za-z])(?:all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)", re.I | re.A)
+NOTICE = re.compile(r"(?:^|[^A-Za-z])(?:all rights reserved|licensed under|released under|general public license|copyright|cookies?|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)(?:[^A-Za-z]|$)", re.I | re.A)
 
 
 def bad_line(line):
@@ -25,7 +25,7 @@ def bad_line(line):
     noise = len(re.findall(r"[#*$%&|<>]", line)) * 10 > sum(map(len, words))
     shout = len(words) >= 3 and sum(w.endswith("!!") for w in words) * 10 >= 3 * len(words)
     mark = re.search(rf"[.!?…:;\x22”»)][\x27\x22)\]]*[{SPACE}]*\Z", line)
-    return noise or shout or (bars >= 2 and bars * 5 >= len(words)) or not mark or bool(NOTICE.search(line))
+    return noise or shout or (bars >= 2 and bars * 5 >= len(words)) or (len(words) <= 40 and (not mark or bool(NOTICE.search(line))))
 
 
 def cleaned(text):

@@ -1,7 +1,7 @@
 """Line-first quality rules, in SQL functions only.
 
-Each line is judged by itself: navigation bars, symbol noise, shouting, boilerplate
-notices, and lines without an end mark fail. Failed lines are removed; a
+Each line is judged by itself: navigation bars, symbol noise and shouting fail, and so do
+short lines with a boilerplate notice or without an end mark. Failed lines are removed; a
 document that loses more than `most_lost_percent` of its word characters is rejected,
 and so is one that fails the base rules (too few words, too much repetition).
 """
@@ -19,9 +19,11 @@ BAR = r"(?<![^\x20\x09-\x0D])[|>](?![^\x20\x09-\x0D])"
 SHOUT = r"!!(?![^\x20\x09-\x0D])"
 END_MARK = r"[.!?…:;\x22”»)][\x27\x22)\]]*[\x20\x09-\x0D]*\z"
 NOTICE = (
-    r"(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy"
-    r"|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)"
+    r"(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookies?|privacy policy"
+    r"|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)(?:[^A-Za-z]|$)"
 )
+#: Lines of more words are prose: a missing end mark or a phrase of a notice doesn't fail them.
+SHORT_LINE = 40
 
 
 def line_fails(line: Column, symbols: Column, shouts: Column) -> Column:
@@ -34,7 +36,7 @@ def line_fails(line: Column, symbols: Column, shouts: Column) -> Column:
     noise = F.regexp_count(line, F.lit(SYMBOL)) * 10 > F.length(F.regexp_replace(line, SPACE, ""))
     marked = symbols & ((noise & (words > 0)) | ((bars >= 2) & (bars * 5 >= words)))
     shouted = shouts & line.contains("!!") & (words >= 3) & (F.regexp_count(line, F.lit(SHOUT)) * 10 >= words * 3)
-    return marked | shouted | (line.rlike(WORD) & (~line.rlike(END_MARK) | line.rlike(NOTICE)))
+    return marked | shouted | (line.rlike(WORD) & (~line.rlike(END_MARK) | line.rlike(NOTICE)) & (words <= SHORT_LINE))
 
 
 def word_metrics(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
@@ -108,11 +110,11 @@ parts AS (SELECT doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w,
   length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM lines),
 judged AS (
   SELECT doc_id, l, w, chars, len(w) > 0 AND (
-    NOT regexp_matches(l, '[.!?…:;\x22”»)][\x27\x22)\]]*[\x20\x09-\x0D]*\z')
+    len(w) <= 40 AND NOT regexp_matches(l, '[.!?…:;\x22”»)][\x27\x22)\]]*[\x20\x09-\x0D]*\z')
     OR (len(list_filter(w, lambda x: x IN ('|', '>'))) >= 2 AND len(list_filter(w, lambda x: x IN ('|', '>'))) * 5 >= len(w))
     OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 10 > chars
     OR (len(w) >= 3 AND len(list_filter(w, lambda x: suffix(x, '!!'))) * 10 >= len(w) * 3)
-    OR regexp_matches(l, '(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookie|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)')
+    OR len(w) <= 40 AND regexp_matches(l, '(?:^|[^A-Za-z])(?i:all rights reserved|licensed under|released under|general public license|copyright|cookies?|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|click here|skip to content|javascript)(?:[^A-Za-z]|$)')
   ) AS fails FROM parts),
 totals AS (
   SELECT doc_id, sum(chars) AS word_chars, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost,
