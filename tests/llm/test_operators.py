@@ -479,6 +479,13 @@ def test_lm_base_and_gain(spark, odd, empty):
     assert all(r.base_score == 0 and r.train_tokens == 0 for r in none)
 
 
+def test_lm_gains_on_held_out_documents(spark):
+    """Nearly every held-out text is likelier than by its base, and tokens gain in the mean."""
+    rows = [r for r in queries.op8_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.n_tokens > 1]
+    assert np.mean([r.score > r.base_score for r in rows]) >= 0.85
+    assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.05
+
+
 def vocabulary_of(counts, other_counts, discount=0.4):
     """Told tokens with falling counts, others with theirs, and the hashes of both."""
     rng = np.random.default_rng(0)
