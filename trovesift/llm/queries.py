@@ -116,6 +116,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    from trovesift.llm.ranked_search import rank_documents
+
+    return rank_documents(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), most=20)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the whole vectors with 64 components, after three rounds."""
+    from trovesift.llm.clustering import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dimensions=64, scale=64, seed="1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -142,6 +156,9 @@ LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    from trovesift.llm import decontam, quality_rules
+    from trovesift.llm import clustering, decontam, quality_rules, ranked_search
 
-    return {"op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {
+        "op7_decontamination": decontam.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op9_ngram_jaccard_join": OP9_SQL,
+        "op11_ranked_search": ranked_search.ORACLE_SQL, "op12_centroid_clustering": clustering.oracle_sql(),
+    }
