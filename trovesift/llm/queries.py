@@ -130,6 +130,15 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dimensions=64, scale=64, seed="1")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a model of labelled pages that are not among them."""
+    from trovesift.llm import html_extract
+
+    model = html_extract.fit(html_extract.labelled_pages(spark))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extract.extract_text(pages, model).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
