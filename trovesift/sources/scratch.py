@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or by `SparkContext.setCheckpointDir`. Without either, work that writes can't run: no machine-local folder would do on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="trovesift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = told.get() if told.isDefined() else None
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below `shared_root`."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
