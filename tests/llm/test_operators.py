@@ -405,7 +405,45 @@ def test_quality_scores_against_brute_force():
 def test_quality_sample_takes_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (2, 7), (None, 1)], "doc_id long, quality int")
-    assert quality_clf.labelled_sample(docs, labels) == [("a", 1), ("c", 0)]
+    assert sorted(tuple(r) for r in quality_clf.labelled_sample(docs, labels).collect()) == [(1, "a", 1), (2, "c", 0)]
+
+
+def test_quality_sample_of_repeated_labels(spark):
+    """Twenty thousand labels of one id count once, and don't drive out others."""
+    labels = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(1).alias("quality")).unionByName(spark.createDataFrame([(6, 0), (7, 1)], "doc_id long, quality int"))
+    docs = spark.createDataFrame([(5, "x"), (6, "y"), (7, "z")], "doc_id long, text string")
+    assert {r.doc_id for r in quality_clf.labelled_sample(docs, labels, most=3).collect()} == {5, 6, 7}
+    assert quality_clf.labelled_sample(docs, labels, most=2).count() == 2
+    model = quality_clf.fit(quality_clf.labelled_sample(docs, labels))
+    same = quality_clf.train([("x", 1), ("y", 0), ("z", 1)])
+    assert np.array_equal(model.weight, same.weight) and model.bias == same.bias
+    assert quality_clf.fit(quality_clf.labelled_sample(docs, labels.limit(0))).bias == 0.0
+
+
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_language_sample_of_null_and_repeated_ids(spark, doc_id):
+    """Rows of one id are rows like others: none of their languages is without a text."""
+    one = spark.range(4000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.when(F.col("id") % 4 == 0, "fr").otherwise("en").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    other = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("de").alias("lang"), F.concat(F.lit("wort "), "id").alias("text"))
+    found = langid.labelled_sample(one.unionByName(other).withColumn("order", F.lit(1)).withColumn("rank", F.lit(1)), per_language=60).collect()
+    assert collections.Counter(r.lang for r in found) == {"en": 60, "fr": 60, "de": 50}
+    assert set(langid.fit(one.unionByName(other), per_language=60).languages) == {"en", "fr", "de"}
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = spark.range(1200).select("id", F.format_string("l%03d", F.col("id") % 300).alias("lang")).select(F.col("id").alias("doc_id"), "lang", F.concat("lang", F.lit(" text")).alias("text"))
+    assert langid.labelled_sample(rows, per_language=2).groupBy("lang").count().where("count = 2").count() == 300
+
+
+def test_addresses_of_stores():
+    assert [warc.address_of(x) for x in ("s3a://b/x", "gs://b/x", "abfs://c@a/x", "hdfs://n/x", "/tmp/x", "file:/tmp/x")] == ["s3://b/x", "gs://b/x", "abfss://c@a/x", "hdfs://n/x", "file:///tmp/x", "file:///tmp/x"]
+
+
+def test_items_without_words_are_not_told(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "build_index", lambda ids, *a, f=decontam.build_index: f(ids, *a) if len(ids) < 10 else pytest.fail("too many items"))
+    items = spark.range(1000).select(F.col("id").alias("item_id"), F.when(F.col("id") == 3, "one two").otherwise(F.when(F.col("id") % 2 == 0, " .,- ")).alias("text"))
+    docs = spark.createDataFrame([(1, "zero one two three")], "doc_id long, text string")
+    assert decontam.contamination(docs, items).first().n_hit == 2
 
 
 # 7

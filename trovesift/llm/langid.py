@@ -198,28 +198,30 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     return LanguageModel(languages, families, pairs, weights, np.array([b for _, b, _ in fits]), np.array([s for _, _, s in fits]))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = 600, languages: int = 256) -> DataFrame:
-    """(doc_id, lang, text): at most `per_language` labelled texts of each of the `languages` most frequent languages, by the order of a seeded hash of the doc_id."""
-    order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+def labelled_sample(docs: DataFrame, per_language: int = 600) -> DataFrame:
+    """(doc_id, lang, text): at most `per_language` labelled texts of each language, the first by a seeded hash of the doc_id, then by text; all of a rarer language.
+
+    Null and repeated ids are rows like others, so a language with a label is never without a text.
+    """
+    order = F.xxhash64(F.lit("sample"), "doc_id")
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string").alias("text"), order.alias("order"))
-    # A share of the rows is ranked, not all: enough of them to find the sample for sure, or all of a rare language.
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
-        return labelled.select("doc_id", "lang", "text").limit(0)
-    share = lambda n: int(min(1.0, (2 * per_language + 50) / n) * (1 << 30))
-    limit = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, share(r.n))))[F.col("lang")]
-    ranked = labelled.where(F.col("order") <= limit).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text")))
+    # Hashes alone tell how far the sample reaches in each language, so texts beyond it are never sorted; salts keep a frequent language from one task.
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order"))).where(F.col("rank") <= per_language)
+    keys = labelled.select("lang", "order", F.pmod("order", F.lit(16)).alias("salt"))
+    reach = first(first(keys, "lang", "salt"), "lang").groupBy("lang").agg(F.max("order").alias("reach"))
+    near = labelled.join(reach, "lang").where(F.col("order") <= F.col("reach"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text")))
     return ranked.where(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
 
-def fit(docs: DataFrame, per_language: int = 600, languages: int = 256) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 600) -> LanguageModel:
     """The model of a labelled sample of `docs` (doc_id, text, lang), trained in a task; only the model comes to the driver."""
 
     def run(batches):
         rows = sorted((r["doc_id"] is None, r["doc_id"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, lang) for _, _, text, lang in rows]))])], ["model"])
 
-    sample = labelled_sample(docs, per_language, languages).repartition(1)
+    sample = labelled_sample(docs, per_language).repartition(1)
     found = sample.mapInArrow(run, "model binary").first()
     return pickle.loads(found.model) if found else train([])
 

@@ -12,6 +12,7 @@ feature for all words, so that stuttering is learned once.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovesift.llm import textops
-from trovesift.llm.shared import map_beside
+from trovesift.llm.shared import map_beside, release
 
 BUCKETS, WIDTH = 1 << 16, 12
 GRAMS = (3, 4)
@@ -111,15 +112,28 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, rate: float = 0.5, seed:
     return QualityModel(fold.astype(np.float64), float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000) -> list[tuple[str, int]]:
-    """At most `most` labelled texts, the first by a seeded hash of the doc_id; all if there are fewer."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    order = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30))
-    share = min(1.0, (2 * most + 50) / max(1, known.count()))  # enough rows to find the first by hash among, not all
-    chosen = known.where(order <= int(share * (1 << 30))).orderBy(order, "doc_id", "quality").limit(most)
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
+    """(doc_id, text, quality): at most `most` labelled texts, the first by a seeded hash of the doc_id; all if there are fewer.
+
+    A label that occurs more than once counts once, and so does the text of an id, the
+    smallest, however often the id occurs; labels of null ids and other values are ignored.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct()
+    chosen = known.orderBy(F.xxhash64(F.lit("quality sample"), "doc_id"), "doc_id", "quality").limit(most)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
-    rows = picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # one text of an id, however often it occurs
-    return [(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text))]
+    return picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+
+
+def fit(sample: DataFrame) -> QualityModel:
+    """The model of a bounded sample (doc_id, text, quality), trained in a task; only the model comes to the driver."""
+
+    def run(batches):
+        rows = sorted((r["doc_id"], r["quality"], r["text"]) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, label) for _, label, text in rows]))], pa.binary())], ["model"])
+        release()
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train([])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:

@@ -81,7 +81,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     fold = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(5)) == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold(F.col("doc_id")))
-    model = quality_clf.train(quality_clf.labelled_sample(docs, labels))
+    model = quality_clf.fit(quality_clf.labelled_sample(docs, labels))
     return quality_clf.score_quality(docs, model).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

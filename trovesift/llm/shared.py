@@ -4,31 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from trovesift.sources.scratch import shared_folder
+
 #: Bytes of text that a worker turns into arrays at once; bounds its memory, never what it covers.
 CHUNK_BYTES = 1 << 18
 #: Paths that `scratch` has given, for `sweep`.
 _MADE: list[str] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="trovesift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    _MADE.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    _MADE.append(shared_folder(spark, name))
     return _MADE[-1]
 
 

@@ -31,6 +31,8 @@ URN = "urn:trovesift:page:"
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
 #: So many revisits (two numbers each) may be broadcast; beyond it they are joined by a shuffle.
 TOLD_ROWS = 500_000
+#: Hadoop's names of object stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss"}
 #: A task for each bundle that is read, up to so many.
 MOST_TASKS = 10_000
 
@@ -134,14 +136,20 @@ def frames(files, path: str):
             yield zstandard.ZstdDecompressor().decompress(file.read_at(packed, start), max_output_size=whole)
 
 
-def _open(address: str):
+def address_of(path: str) -> str:
+    """A path of Spark's as pyarrow's file systems name it: Hadoop's schemes of object stores have other names there."""
+    if "://" not in path and not path.startswith("file:"):
+        return "file://" + path
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[len("file:") :]
+    scheme, _, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+
+
+def _open(path: str):
     from pyarrow import fs
 
-    if "://" not in address and not address.startswith("file:"):
-        address = "file://" + address
-    if address.startswith("file:/") and not address.startswith("file://"):
-        address = "file://" + address[len("file:") :]
-    return fs.FileSystem.from_uri(address)
+    return fs.FileSystem.from_uri(address_of(path))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 9) -> tuple[str, DataFrame]:
