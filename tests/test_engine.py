@@ -1,5 +1,6 @@
 """Operators of the engine against plain Python."""
 
+import dataclasses
 import datetime as dt
 import io
 import itertools
@@ -242,9 +243,11 @@ def test_behaviour_hashes_are_blanked(spark):
 def test_stores(spark):
     t = stores.VersionedTable(spark, shared_folder(spark, "table"), "id long, v string")
     rows = spark.createDataFrame([(1, "a"), (2, "b")], t.schema)
-    t.append(rows)
-    t.append(rows.unionByName(spark.createDataFrame([(3, "c")], t.schema)))
-    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    t.append(rows, ("events", 0))
+    t.append(rows, ("events", 0))  # the same append once more
+    t.append(rows.limit(1).unionByName(spark.createDataFrame([(3, None)], t.schema)), ("events", 1))
+    t.append(spark.createDataFrame([(3, None)], t.schema))
+    assert sorted(map(repr, t.read().collect())) == sorted(map(repr, [*rows.collect(), rows.first(), *t.read().where("id = 3").collect()])) and t.read().where("id = 3").count() == 2
     stores.clear_all(t)
     assert t.read().count() == 0
     old = spark.createDataFrame([(1, True)], "item_id long, is_pinned boolean")
@@ -255,8 +258,11 @@ def test_stores(spark):
     path = shared_folder(spark, "settings")
     from trovesift.config import DEFAULTS
 
-    stores.save_settings(spark, path, DEFAULTS)
-    assert stores.remove_setting(spark, path, "rrf_k") and not stores.remove_setting(spark, path, "rrf_k") and stores.load_settings(spark, path) == DEFAULTS
+    kept = stores.SettingsStore(spark, path)
+    assert kept.load() == DEFAULTS
+    kept.save(dataclasses.replace(DEFAULTS, rrf_k=7, frequency_tiers=(1.0, 2.0, 3.0)))
+    assert (kept.load().rrf_k, kept.load().frequency_tiers) == (7, (1.0, 2.0, 3.0))
+    assert kept.remove("rrf_k") and not kept.remove("rrf_k") and kept.load().rrf_k == DEFAULTS.rrf_k
 
 
 def test_observed_counts(spark):
@@ -342,12 +348,29 @@ def test_payload_has_all(spark):
 
 def test_changes_survive_lost_and_repeated_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "catalog")
-    schema = "path string, kind string, seq long"
+    schema = pipelines.CHANGE
+    seen = lambda: {tuple(r) for r in pipelines.catalog(spark, out).collect()}
     spark.createDataFrame([("a", "new", 1), ("b", "new", 2)], schema).coalesce(1).write.parquet(f"{source}/0")
     stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
     pipelines.merge_changes(stream(), out, str(tmp_path / "c1"))
     pipelines.merge_changes(stream(), out, str(tmp_path / "c2"))  # a new checkpoint numbers from 0 again
-    assert spark.read.schema(schema).parquet(f"{out}/version=0").count() == 2
+    assert seen() == {("a", "new", 1), ("b", "new", 2)}
     spark.createDataFrame([("a", "delete", 3), ("b", "modified", 1), ("c", "new", 4)], schema).coalesce(1).write.parquet(f"{source}/1")
     pipelines.merge_changes(stream(), out, str(tmp_path / "c1"))
-    assert {tuple(r) for r in spark.read.schema(schema).parquet(f"{out}/version=1").collect()} == {("b", "new", 2), ("c", "new", 4)}
+    assert seen() == {("b", "new", 2), ("c", "new", 4)}
+
+
+def test_a_late_change_brings_no_path_back(spark, tmp_path):
+    """Five changes of a path, each in a batch of its own, in many orders: the catalog has what the latest one says."""
+    orders = list(itertools.permutations([("new", 1), ("modified", 2), ("delete", 5), ("modified", 3), ("rescan", 4)]))
+    rows = [(f"p{k}", kind, seq, step) for k, order in enumerate(orders) for step, (kind, seq) in enumerate(order)]
+    rows += [(f"q{k}", "modified" if kind == "delete" else "delete" if seq == 3 else kind, seq, step) for k, order in enumerate(orders) for step, (kind, seq) in enumerate(order)]
+    whole = spark.createDataFrame(rows, "path string, kind string, seq long, step int")
+    source, out = str(tmp_path / "in"), str(tmp_path / "catalog")
+    for step in range(5):
+        whole.where(whole.step == step).select("path", "kind", "seq").coalesce(1).write.parquet(f"{source}/{step}")
+        stream = spark.readStream.schema(pipelines.CHANGE).option("recursiveFileLookup", True).parquet(source)
+        pipelines.merge_changes(stream, out, str(tmp_path / "c"))
+    assert {tuple(r) for r in pipelines.catalog(spark, out).collect()} == {(f"q{k}", "modified", 5) for k in range(120)}
+    pipelines.merge_changes(spark.readStream.schema(pipelines.CHANGE).option("recursiveFileLookup", True).parquet(source), out, str(tmp_path / "again"), late=0)
+    assert pipelines.catalog(spark, out).count() == 120

@@ -38,8 +38,8 @@ def test_vector_store(spark, tmp_path):
 
 
 def test_settings(spark, tmp_path):
-    stores.save_settings(spark, str(tmp_path / "s"), Settings(junk_weight=7.0))
-    assert stores.load_settings(spark, str(tmp_path / "s")) == Settings(junk_weight=7.0)
+    stores.SettingsStore(spark, str(tmp_path / "s")).save(Settings(junk_weight=7.0))
+    assert stores.SettingsStore(spark, str(tmp_path / "s")).load() == Settings(junk_weight=7.0)
 
 
 def test_merge_stream(spark, tmp_path):
@@ -47,4 +47,4 @@ def test_merge_stream(spark, tmp_path):
     rows = [("a", "new", 1), ("a", "modified", 2), ("b", "new", 3), ("b", "delete", 4)]
     spark.createDataFrame(rows, "path string, kind string, seq long").write.parquet(source)
     pipelines.merge_changes(pipelines.stream_table(spark, source), out, str(tmp_path / "c"))
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/version=0").collect()] == [("a", "modified", 2)]
+    assert [tuple(r) for r in pipelines.catalog(spark, out).collect()] == [("a", "modified", 2)]

@@ -10,48 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovesift.config import DEFAULTS, Settings
+from trovesift.sources.snapshots import Snapshots
 
 
 class VersionedTable:
-    """A Parquet table in folders version=0, 1, ...: a write makes the next whole version, readers take the last that is whole."""
+    """One table with a log of commits: readers see the last one, a commit writes what changes, and writers that change the same keys conflict."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self._jpath = spark._jvm.org.apache.hadoop.fs.Path
-        self.files = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.log = Snapshots(spark, path, {"rows": schema})
 
     def version(self) -> int:
-        if not self.files.exists(self._jpath(self.path)):
-            return -1
-        names = [s.getPath().getName() for s in self.files.listStatus(self._jpath(self.path))]
-        whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and self.files.exists(self._jpath(f"{self.path}/{n}/_SUCCESS"))]
-        return max(whole, default=-1)
+        return self.log.version()
 
-    def read(self) -> DataFrame:
-        now = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={now}") if now >= 0 else self.spark.createDataFrame([], self.schema)
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.log.read("rows", version)
 
     def write(self, df: DataFrame) -> int:
-        number = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/version={number}")
-        return number
+        """These rows in place of all."""
+        return self.log.commit({"rows": df}, overwrite=("rows",))
 
     def replace_keys(self, rows: DataFrame, key: str) -> int:
-        """Rows of the keys in `rows` are replaced by them, at once for readers; the others stay."""
-        kept = self.read().join(rows.select(key).distinct(), key, "left_anti")
-        return self.write(kept.select(*rows.columns).unionByName(rows))
+        """Rows of the keys in `rows` are replaced by them; the others stay."""
+        return self.log.commit({"rows": rows}, {"rows": (key, rows)})
 
     def delete_keys(self, keys: DataFrame, key: str) -> int:
-        return self.write(self.read().join(keys.select(key).distinct(), key, "left_anti"))
+        return self.log.commit({}, {"rows": (key, keys)})
 
     def clear(self) -> int:
-        return self.write(self.spark.createDataFrame([], self.schema))
+        return self.log.commit({}, overwrite=("rows",))
 
-
-    def append(self, rows: DataFrame) -> int:
-        """Rows beside those that are there; a key that is there already, by all columns, isn't doubled by a repeated append."""
-        now = self.read()
-        return self.write(now.unionByName(rows.select(*now.columns).join(now, now.columns, "left_anti")))
+    def append(self, rows: DataFrame, once: tuple[str, int] | None = None) -> int:
+        """Rows beside those that are there, equal ones too; with `once` (who, a number that grows) a repeated append does nothing."""
+        return self.log.commit({"rows": rows}, once=once)
 
 
 #: Schema versions of the catalog: columns that a version adds, with the value that older rows get.
@@ -117,24 +108,32 @@ def export_payload(spark: SparkSession, tables: dict[str, DataFrame], settings:
     reduce(DataFrame.unionByName, rows).write.mode("overwrite").json(path)
 
 
-def save_settings(spark: SparkSession, path: str, settings: Settings) -> None:
-    spark.createDataFrame([(json.dumps(asdict(settings)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+class SettingsStore:
+    """Settings in a log of commits: a change is there as a whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.table = VersionedTable(spark, path, "value string")
+        self.spark = spark
+
+    def _stored(self) -> dict:
+        row = self.table.read().first()
+        return json.loads(row.value) if row else {}
 
+    def _put(self, found: dict) -> None:
+        self.table.write(self.spark.createDataFrame([(json.dumps(found),)], "value string"))
 
-def load_settings(spark: SparkSession, path: str) -> Settings:
-    """Settings with defaults for what is missing; unknown keys are ignored."""
-    found = json.loads(spark.read.text(path).first().value)
-    names = {f.name: f for f in fields(Settings)}
-    return replace(DEFAULTS, **{k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in names})
+    def save(self, settings: Settings) -> None:
+        self._put(asdict(settings))
 
+    def load(self) -> Settings:
+        """Settings with defaults for what is missing; unknown keys are ignored."""
+        names = {f.name for f in fields(Settings)}
+        return replace(DEFAULTS, **{k: tuple(v) if isinstance(v, list) else v for k, v in self._stored().items() if k in names})
 
-def remove_setting(spark: SparkSession, path: str, key: str) -> bool:
-    """Take one setting back to its default; whether it was set."""
-    found = json.loads(spark.read.text(path).first().value)
-    if key not in found:
-        return False
-    del found[key]
-    fresh = f"{path}.new"
-    spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
-    spark.read.text(fresh).coalesce(1).write.mode("overwrite").text(path)
-    return True
+    def remove(self, key: str) -> bool:
+        """Take one setting back to its default; whether it was set."""
+        found = self._stored()
+        if found.pop(key, None) is None:
+            return False
+        self._put(found)
+        return True

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovesift.operators.indexing import coalesce_changes
-from trovesift.operators.merge import upsert
+from trovesift.operators.indexing import rank_of
+from trovesift.sources.snapshots import Snapshots
 
 
 def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -59,35 +59,43 @@ def classify(exists: Column, removed: Column, created: Column, modified: Column,
     )
 
 
-def merge_changes(changes: DataFrame, catalog_path: str, checkpoint: str, key: str = "path") -> None:
-    """A change stream (path, kind, seq, ...) into a catalog of versioned folders: coalesce, merge, swap by batch id.
+CHANGE = "path string, kind string, seq long"
 
-    A batch builds on the last whole version before it, whichever that is, and a batch
-    that is there already isn't applied again. An older change than one that was merged
-    doesn't undo it: the last number of each path is kept.
-    """
-    spark = changes.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    files = jpath(catalog_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    schema = "path string, kind string, seq long"
 
-    def whole() -> list[int]:
-        if not files.exists(jpath(catalog_path)):
-            return []
-        names = [x.getPath().getName() for x in files.listStatus(jpath(catalog_path))]
-        return sorted(int(n[8:]) for n in names if n.startswith("version=") and files.exists(jpath(f"{catalog_path}/{n}/_SUCCESS")))
+def _changes(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, path, {"paths": CHANGE})
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The paths (path, kind, seq) that are there, without those whose last change was a delete."""
+    return _changes(spark, path).read("paths").where("kind <> 'delete'")
+
+
+def merge_changes(changes: DataFrame, path: str, checkpoint: str, name: str | None = None, late: int | None = None) -> None:
+    """A change stream (path, kind, seq) into a `catalog`: the last change of each path (of equal numbers the kind that wins), a commit for each batch.
+
+    The result is the same however the changes are dealt into batches. A commit writes the paths that changed, not the catalog. A batch that comes again, by
+    the stream's `name` (its checkpoint unless given), isn't applied again. An older change
+    than one that was merged doesn't undo it: deleted paths stay as tombstones with their
+    numbers, so a late change doesn't bring one back. Tombstones over `late` numbers behind
+    the newest change are forgotten, if `late` is given; no change may be later than that.
+    """
+    log = _changes(changes.sparkSession, path)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        done = whole()
-        if batch_id in done:
-            return
-        last = max((v for v in done if v < batch_id), default=None)
-        state = spark.read.schema(schema).parquet(f"{catalog_path}/version={last}") if last is not None else spark.createDataFrame([], schema)
-        newest = batch.groupBy(key).agg(F.max("seq").alias("seq"))
-        now = coalesce_changes(batch).select(key, "kind").join(newest, key).select(key, "kind", "seq")
-        late = now.alias("n").join(state.alias("o"), key).where("n.seq < o.seq").select(key)
-        now = now.join(late, key, "left_anti")
-        kept = upsert(state, now.where("kind <> 'delete'"), key).join(now.where("kind = 'delete'").select(key), key, "left_anti")
-        kept.write.mode("overwrite").parquet(f"{catalog_path}/version={batch_id}")
+        batch.persist()
+        last = F.max(F.struct("seq", (-rank_of(F.col("kind"))).alias("r"), "kind"))
+        now = batch.where("path is not null and seq is not null").groupBy("path").agg(last.alias("l")).select("path", "l.kind", "l.seq")
+        state = log.state()
+        known = log.read("paths", state=state).join(now.select("path"), "path", "left_semi").select("path", F.col("seq").alias("_old"))
+        new = now.join(known, "path", "left").where("_old is null or seq > _old").select("path", "kind", "seq")
+        gone = new.select("path")
+        if late is not None:
+            last = batch.agg(F.max("seq")).first()[0]
+            old = log.read("paths", state=state).where((F.col("kind") == "delete") & (F.col("seq") < F.lit(last) - late)).select("path")
+            gone = gone.unionByName(old)
+        log.commit({"paths": new}, {"paths": ("path", gone)}, once=(name or checkpoint, batch_id), read=state.version)
+        log.merge("paths")
+        batch.unpersist()
 
     changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
