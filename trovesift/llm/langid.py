@@ -33,6 +33,8 @@ FAMILIES = {
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 GRAMS = (1, 2, 3, 4)
+#: So many languages may be broadcast with how far their samples reach; beyond it they are joined by a shuffle.
+TOLD_LANGUAGES = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 
 # Letters of ASCII in lower case and all bytes beyond it stay; the rest is space.
@@ -209,6 +211,9 @@ def labelled_sample(docs: DataFrame, per_language: int = 600) -> DataFrame:
     first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order"))).where(F.col("rank") <= per_language)
     keys = labelled.select("lang", "order", F.pmod("order", F.lit(16)).alias("salt"))
     reach = first(first(keys, "lang", "salt"), "lang").groupBy("lang").agg(F.max("order").alias("reach"))
+    few = reach.limit(TOLD_LANGUAGES + 1).toArrow()  # two numbers a language: told to tasks, so no text is shuffled by its language
+    if few.num_rows <= TOLD_LANGUAGES:
+        reach = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["reach"]) for r in few.to_pylist()], reach.schema))
     near = labelled.join(reach, "lang").where(F.col("order") <= F.col("reach"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text")))
     return ranked.where(F.col("rank") <= per_language).select("doc_id", "lang", "text")
