@@ -6,6 +6,7 @@ import random
 import pytest
 
 from trovesift.operators.indexing import CHANGES
+from trovesift.streaming import attribution as A
 from trovesift.streaming import coordinator as C
 from trovesift.streaming import pipelines
 
@@ -58,11 +59,8 @@ def test_every_permutation_of_arrivals():
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield spark
-    spark.conf.set(key, before) if before else spark.conf.unset(key)
+    with pipelines.keyed_state(spark):
+        yield spark
 
 
 def test_stream_equals_replay(rocks, tmp_path):
@@ -83,3 +81,58 @@ def test_stream_equals_replay(rocks, tmp_path):
             pipelines.run_now(C.dispatches(stream.option("maxFilesPerTrigger", 1).parquet(source), late="100 seconds"), out, f"{out}-c")
         found.append(sorted((r.path, r.generation, r.kind, r.ms, r.changes) for r in spark.read.parquet(out).selectExpr("*", "unix_millis(due) AS ms").collect()))
     assert found[0] == want and found[1] == want and len(want) > 50
+
+
+def taken_by_brute_force(events, before=30_000, after=1_000):
+    """Clicks in order of time; every exposure is free until a click takes it."""
+    out, free = [], sorted(e for e in events if e[0] == "exposure")
+    for _, click, item, at, context, digest, query in sorted((e for e in events if e[0] == "click"), key=lambda e: (e[3], e[1])):
+        near = [e for e in free if e[2] == item and -before <= e[3] - at <= after]
+        ties = ([e for e in near if context and e[4] == context], [e for e in near if digest and query and e[5:] == (digest, query)], [e for e in near if query and e[6] == query])
+        tier = next((k for k, x in enumerate(ties) if x), None)
+        if tier is None:
+            out.append((item, click, None, None, 1.0 if context else 0.85 if digest else 0.7, at))
+        for e in ties[tier] if tier is not None else []:
+            free.remove(e)
+            out.append((item, click, e[1], tier, A.TIERS[tier], at))
+    return sorted(out, key=str)
+
+
+def some_events(rnd, n, span):
+    pick = lambda *x: rnd.choice(x)
+    return [(pick("click", "exposure", "exposure"), k, rnd.randrange(4), rnd.randrange(span), pick(None, "", "a", "b", "c"), pick(None, "d", "e"), pick("q", "r", "", None)) for k in range(n)]
+
+
+def test_each_exposure_is_taken_once():
+    rnd = random.Random(8)
+    for _ in range(40):
+        events = some_events(rnd, 40, 200_000)
+        want = taken_by_brute_force(events)
+        rnd.shuffle(events)
+        assert A.replay(events, 10**9) == want
+        exposures = [x[2] for x in want if x[2] is not None]
+        assert len(exposures) == len(set(exposures))
+
+
+def test_state_of_an_item_is_bounded():
+    state = A.ItemState(30_000, 1_000)
+    for k in range(1000):
+        state.add("exposure", [k * 1000, k, "a", "d", "q"])
+        state.advance(k * 1000)
+    assert len(state.exposures) <= 32
+    state.advance(10**9)
+    assert state.next_due() is None
+
+
+def test_attribution_as_a_stream(rocks, tmp_path):
+    spark, rnd = rocks, random.Random(9)
+    events = some_events(rnd, 200, 90_000)
+    want = taken_by_brute_force(events)
+    rows = spark.createDataFrame([*events, ("exposure", 999, 77, 1_000_000, "x", "x", "x")], "side string, event_id long, item_id long, ms long, context string, digest string, query string").selectExpr("side", "event_id", "item_id", "timestamp_millis(ms) AS at", "context", "digest", "query")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        rows.where(f"event_id % 3 = {k} OR event_id = 999 AND {k} = 2").where(f"event_id <> 999 OR {k} = 2").coalesce(1).write.parquet(f"{source}/{k}")
+    stream = spark.readStream.schema(A.EVENTS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(source)
+    pipelines.run_now(A.attribute_stream(stream, late="95 seconds"), out, f"{out}-c")
+    got = spark.read.parquet(out).selectExpr("item_id", "click_id", "exposure_id", "tier", "confidence", "unix_millis(at) AS ms").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want

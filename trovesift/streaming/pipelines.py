@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def stream_table(spark: SparkSession, path: str, files: int | None = None) -> Da
     return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """While a stream is started: the state store that operators with state by key and timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def dedupe(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each event once; the state is bounded by the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
