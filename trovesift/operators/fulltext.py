@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trovesift.config import DEFAULTS, Settings
 from trovesift.functions import text
+from trovesift.sources.snapshots import Snapshots
 
 #: A query's term, and whether it stands for all words that begin with it.
 Term = tuple[str, bool]
@@ -42,26 +43,40 @@ def fold(words: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(F.translate(w, *text.DIACRITICS), r"\p{M}+", ""))
 
 
-def postings(chunks: DataFrame, stemming: bool = False, folding: bool = False) -> DataFrame:
-    """POSTINGS of chunks (item_id, chunk_index, name, path, chunk_text). The empty term of each chunk holds its length.
+FIELDS = ("name", "path", "chunk_text")
 
-    All words of a chunk are in one task, so they are counted before the shuffle.
-    """
-    columns = ("name", "path", "chunk_text")
-    fields = chunks.select("item_id", F.col("chunk_index").cast("int").alias("chunk_index"), *(text.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
+
+def _fields(chunks: DataFrame, stemming: bool, folding: bool) -> DataFrame:
+    """(item_id, chunk_index, and the words of each field) of chunks (item_id, chunk_index, name, path, chunk_text)."""
+    fields = chunks.select("item_id", F.col("chunk_index").cast("int").alias("chunk_index"), *(text.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FIELDS))
     if folding:
-        fields = fields.select("item_id", "chunk_index", *(fold(F.col(c)).alias(c) for c in columns))
+        fields = fields.select("item_id", "chunk_index", *(fold(F.col(c)).alias(c) for c in FIELDS))
     if stemming:
-        fields = fields.select("item_id", "chunk_index", *(text.stems(c).alias(c) for c in columns))
-    dl = (F.size("name") + F.size("path") + F.size("chunk_text")).alias("dl")
+        fields = fields.select("item_id", "chunk_index", *(text.stems(c).alias(c) for c in FIELDS))
+    return fields
+
+
+def _length() -> Column:
+    return reduce(lambda a, b: a + b, (F.size(c) for c in FIELDS))
+
+
+def _postings(fields: DataFrame) -> DataFrame:
     tag = lambda c, k: F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(k).alias("field")))
     length = F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("field")))
-    rows = fields.select("item_id", "chunk_index", dl, F.explode(F.concat(length, tag("name", 0), tag("path", 1), tag("chunk_text", 2))).alias("t")).select("item_id", "chunk_index", "dl", "t.*")
+    rows = fields.select("item_id", "chunk_index", _length().alias("dl"), F.explode(F.concat(length, *(tag(c, k) for k, c in enumerate(FIELDS)))).alias("t")).select("item_id", "chunk_index", "dl", "t.*")
     count = lambda k, name: F.count_if(F.col("field") == k).alias(name)
     counted = rows.groupBy("term", "item_id", "chunk_index", "dl").agg(count(0, "tf_name"), count(1, "tf_path"), count(2, "tf_content"))
     return counted.select(*(x.split()[0] for x in POSTINGS.split(", ")))
 
 
+def postings(chunks: DataFrame, stemming: bool = False, folding: bool = False) -> DataFrame:
+    """POSTINGS of chunks (item_id, chunk_index, name, path, chunk_text). The empty term of each chunk holds its length.
+
+    All words of a chunk are in one task, so they are counted before the shuffle.
+    """
+    return _postings(_fields(chunks, stemming, folding))
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     """(term, df): chunks with each term."""
     return index.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
@@ -106,44 +121,124 @@ def bm25(chunks: DataFrame, terms: list, every: bool, settings: Settings = DEFAU
     return _scored(counted, totals, terms, every, settings)
 
 
+#: So many changed items are told to the scan of the forward table; more are joined with it.
+TOLD_ITEMS = 10_000
+
+
 class Index:
-    """A persisted inverted index: postings sorted by term, document frequencies, the corpus's size and mean length.
+    """A persisted inverted index that grows: postings by term, terms by chunk, signed document frequencies and totals, all in one log of commits.
 
     A search reads the row groups of its terms only (the filter on the sorted column is
-    pushed to the scan), so its cost goes with their postings, not with the corpus.
+    pushed to the scan), so its cost goes with their postings, not with the corpus. A
+    change writes the postings of the changed items, takes their old ones away by item,
+    and adds what they change of the frequencies and totals, so scores are those of an
+    index built anew. Postings are dealt by term and item: a term of every chunk is split.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.postings = spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
-        self.frequencies = spark.read.schema("term string, df long").parquet(f"{self.path}/frequencies")
-        stats = spark.read.schema("n long, avgdl double").parquet(f"{self.path}/statistics").first()
-        self.n, self.average = stats.n, stats.avgdl
+    TABLES = {"postings": POSTINGS, "forward": "item_id long, chunk_index int, dl int, terms array<string>", "frequencies": "term string, df long", "statistics": "n long, dl long", "lexicon": "term string, df long, first string"}
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, stemming: bool = False, folding: bool = False) -> None:
+        self.spark, self.path, self.stemming, self.folding = spark, path.rstrip("/"), stemming, folding
+        self.log = Snapshots(spark, self.path, self.TABLES)
+        self.state = self.log.state(version)
+        read = lambda table: self.log.read(table, state=self.state)
+        self.postings, self.forward = read("postings"), read("forward")
+        self.frequencies = read("frequencies").groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        totals = read("statistics").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).first()
+        self.n = totals.n or 0
+        self.average = totals.dl / totals.n if self.n else None
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, stemming: bool = False, folding: bool = False) -> Index:
-        spark, path = chunks.sparkSession, path.rstrip("/")
-        made = postings(chunks, stemming, folding).repartitionByRange("term").sortWithinPartitions("term", "item_id", "chunk_index")
-        made.write.mode("overwrite").parquet(f"{path}/postings")
-        written = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-        document_frequency(written).write.mode("overwrite").parquet(f"{path}/frequencies")
-        written.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
-        return cls(spark, path)
+        """A new index in place of what is at the path."""
+        made = cls(chunks.sparkSession, path, stemming=stemming, folding=folding)
+        made.log.commit(made._added(chunks, None), overwrite=tuple(cls.TABLES))
+        return cls(made.spark, path, None, stemming, folding).learn_lexicon()
+
+    def _opened(self) -> Index:
+        return Index(self.spark, self.path, None, self.stemming, self.folding)
+
+    @staticmethod
+    def _laid(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("term", "item_id").sortWithinPartitions("term", "item_id", "chunk_index")
+
+    def _added(self, chunks: DataFrame | None, old: DataFrame | None) -> dict:
+        """What a commit adds: postings and terms of `chunks`, and how they and the chunks that go (rows of `forward`) change the totals."""
+        added = {}
+        if chunks is not None:
+            fields = _fields(chunks, self.stemming, self.folding)
+            terms = F.array_distinct(F.concat(*FIELDS))
+            added["postings"] = self._laid(_postings(fields))
+            added["forward"] = fields.select("item_id", "chunk_index", _length().cast("int").alias("dl"), terms.alias("terms")).sortWithinPartitions("item_id", "chunk_index")
+
+        def frequencies(written):
+            signed = []
+            if chunks is not None:
+                signed.append(document_frequency(written["postings"]))
+            if old is not None:
+                signed.append(old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
+            return reduce(DataFrame.unionByName, signed).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sortWithinPartitions("term")
+
+        def statistics(written):
+            parts = [written["forward"].select(F.lit(1).alias("sign"), "dl")] if chunks is not None else []
+            parts += [old.select(F.lit(-1).alias("sign"), "dl")] if old is not None else []
+            return reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("dl"))
+
+        return added | {"frequencies": frequencies, "statistics": statistics}
+
+    def _rows_of(self, gone: DataFrame) -> DataFrame:
+        few = [r.item_id for r in gone.limit(TOLD_ITEMS + 1).collect()]
+        if len(few) <= TOLD_ITEMS:
+            return self.forward.where(F.col("item_id").isin(few))
+        return self.forward.join(gone, "item_id", "left_semi")
+
+    def replace(self, chunks: DataFrame, gone: DataFrame | None = None, once: tuple[str, int] | None = None) -> Index:
+        """The index with the items of `chunks` in place of what it had of them, and without the items of `gone` (item_id), in one commit.
+
+        What it writes goes with the change. Another writer's change of the same items in
+        between makes it fail. Null ids are never replaced.
+        """
+        ids = chunks.select("item_id")
+        ids = (ids if gone is None else ids.unionByName(gone.select("item_id"))).where("item_id is not null").distinct()
+        taken = {table: ("item_id", ids) for table in ("postings", "forward")}
+        self.log.commit(self._added(chunks, self._rows_of(ids)), taken, once=once, read=self.state.version)
+        return self._opened()
+
+    def delete(self, gone: DataFrame, once: tuple[str, int] | None = None) -> Index:
+        """The index without the items of `gone` (item_id)."""
+        ids = gone.select("item_id").where("item_id is not null").distinct()
+        self.log.commit(self._added(None, self._rows_of(ids)), {table: ("item_id", ids) for table in ("postings", "forward")}, once=once, read=self.state.version)
+        return self._opened()
+
+    def merge(self, fanout: int = 8) -> Index:
+        """The same index with segments of a size merged, so that a search opens few of them."""
+        summed = {"frequencies": lambda df: df.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sortWithinPartitions("term"), "statistics": lambda df: df.agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))}
+        laid = {"postings": self._laid, "forward": lambda df: df.sortWithinPartitions("item_id", "chunk_index"), **summed}
+        if sum(self.log.merge(table, fanout, arrange) for table, arrange in laid.items()):
+            return self._opened().learn_lexicon()
+        return self
+
+    def learn_lexicon(self) -> Index:
+        """Keep the terms that corrections choose among with the index; changes since are learned with the next merge."""
+        self.log.commit({"lexicon": lexicon(self.frequencies)}, overwrite=("lexicon",))
+        return self._opened()
+
+    def lexicon(self) -> DataFrame:
+        return self.log.read("lexicon", state=self.state)
 
     def compact(self, path: str) -> Index:
-        """The same index, sorted anew into fewer and larger files; refuses one whose parts disagree."""
+        """The same index at another path, in one segment a table; refuses one whose parts disagree."""
         if not self.whole():
             raise ValueError("the index is damaged")
-        rows = self.postings.repartitionByRange("term").sortWithinPartitions("term", "item_id", "chunk_index")
-        rows.write.mode("overwrite").parquet(f"{path}/postings")
-        for name, df in (("frequencies", self.frequencies), ("statistics", self.spark.createDataFrame([(self.n, self.average)], "n long, avgdl double"))):
-            df.coalesce(8).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Index(self.spark, path)
+        log = Snapshots(self.spark, path, self.TABLES)
+        totals = self.spark.createDataFrame([(self.n, round((self.average or 0) * self.n))], self.TABLES["statistics"])
+        log.commit({"postings": self._laid(self.postings), "forward": self.forward, "frequencies": self.frequencies, "statistics": totals, "lexicon": self.lexicon()}, overwrite=tuple(self.TABLES))
+        return Index(self.spark, path, None, self.stemming, self.folding)
 
     def whole(self) -> bool:
-        """Whether postings, frequencies and statistics agree."""
+        """Whether postings, frequencies and totals agree."""
         rows = self.postings.agg(F.count_if(F.col("term") != ""), F.count_if(F.col("term") == "")).first()
-        return rows[0] == (self.frequencies.agg(F.sum("df")).first()[0] or 0) and rows[1] == self.n
+        return rows[0] == (self.frequencies.agg(F.sum("df")).first()[0] or 0) and rows[1] == self.n == self.forward.count()
 
     def bm25(self, terms: list, every: bool, settings: Settings = DEFAULTS) -> DataFrame:
         """As `bm25` of the chunks that the index was built from."""

@@ -88,7 +88,7 @@ _TYPOS = ["documnts", "dwnloads", "lisense", "relesed", "tht"]
 
 
 def _typos(spark, sf_dir, plain=True):
-    terms = fulltext.lexicon(index(spark, sf_dir).frequencies)
+    terms = index(spark, sf_dir).lexicon()
     return fulltext.typo_candidates(spark.createDataFrame([(t,) for t in _TYPOS], "token string"), terms, plain=plain)
 
 
@@ -117,7 +117,7 @@ _TOP = "SELECT item_id, chunk_index, round(rank, 6) AS rank, '{}' AS origin FROM
 
 def _found(spark, sf_dir, raw, mode):
     """A search's hits, rounded before they are cut as in the SQL."""
-    terms = fulltext.lexicon(index(spark, sf_dir).frequencies)
+    terms = index(spark, sf_dir).lexicon()
     hits, _ = rewrite.search(index(spark, sf_dir), chunks(spark, sf_dir), items(spark, sf_dir), terms, raw, mode, limit=2000)
     return hits.withColumn("rank", F.round("rank", 6))
 
@@ -144,6 +144,6 @@ def search_auto(spark, sf_dir):
 @query()
 def typo_rewrite(spark, sf_dir):
     """Decisions for a batch of queries, a few rows each; unit tests hold the rules."""
-    terms = fulltext.lexicon(index(spark, sf_dir).frequencies)
+    terms = index(spark, sf_dir).lexicon()
     found = [rewrite.decide(q, terms, 2) for q in ("documnets downlaods", "with the licence", "publc doman", "zzzzqqqq")]
     return spark.createDataFrame([(d.query, d.rewritten, round(d.confidence, 6), round(d.least, 6), d.considered, d.sure) for d in found], "query string, rewritten string, confidence double, least double, considered int, sure boolean")
