@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("relational", "texts", "lexical", "ranking", "vectors", "understanding", "feedback", "learning", "indexing", "answers", "streams", "embedding", "upkeep")
+_MODULES = ("relational", "texts", "lexical", "ranking", "vectors", "understanding", "feedback", "learning", "indexing", "answers", "streams", "embedding", "upkeep", "search")
 
 
 def query(sql: str | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,68 @@ def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("item_id", dot(F.col("embedding"), F.array(*map(F.lit, query))).alias("similarity")).orderBy(F.desc("similarity"), "item_id").limit(k)
 
 
-def normalized_similarity(cosine: Column, threshold: float) -> Column:
+#: Numbers of the queries that a task holds at once.
+TOLD_NUMBERS = 1 << 22
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, similarity): for each query (query_id, embedding, and perhaps mask) the `k` vectors (item_id, embedding, bits) with the highest inner product, smaller ids first.
+
+    Exact: every task multiplies its vectors with all queries, in blocks of queries of
+    bounded size, and keeps `k` for each, so `k` rows a task and query are shuffled. With
+    masks, a query sees vectors that have one of its bits; a mask of 0 sees all. Null
+    embeddings find nothing; vectors of another length than the queries' fail.
+    """
+    masked = "mask" in queries.columns
+    asked = queries.where("embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.col("mask" if masked else F.lit(0)).cast("long").alias("mask"))
+    size = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    blocks = max(1, -(-size // TOLD_NUMBERS))
+    rows = vectors.select("item_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("bits") if masked else F.lit(0)).cast("long").alias("bits")).where("embedding is not null")
+    parts = []
+    for block in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
+        if own.num_rows:
+            parts.append(_nearest(rows, own, k))
+    if not parts:
+        return rows.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "item_id", F.lit(0.0).alias("similarity")).limit(0)
+    names = queries.select("query_id").schema
+    best = parts[0]
+    for more in parts[1:]:
+        best = best.unionByName(more)
+    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).where(F.col("_r") <= k)
+    return ranked.select(F.col("query_id").cast(names["query_id"].dataType).alias("query_id"), "item_id", "similarity")
+
+
+def _nearest(rows: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    matrix = np.stack([np.asarray(v, float) for v in asked.column("embedding").to_pylist()])
+    told = rows.sparkSession.sparkContext.broadcast((asked.column("query_id").to_pylist(), matrix, asked.column("mask").to_numpy()))
+
+    def run(batches):
+        ids, queries, masks = told.value
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        least = np.full(len(ids), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                item, bits = part.column(0).to_numpy(), part.column(2).to_numpy()
+                found = part.column(1).flatten().to_numpy().reshape(len(item), queries.shape[1]) @ queries.T
+                if masks.any():
+                    found[((bits[:, None] & masks[None, :]) == 0) & (masks != 0)[None, :]] = -np.inf
+                for q in np.flatnonzero(((found >= least) & (found > -np.inf)).any(0)).tolist():
+                    near = np.flatnonzero((found[:, q] >= least[q]) & (found[:, q] > -np.inf))
+                    value, place = np.concatenate([best[q][0], found[near, q]]), np.concatenate([best[q][1], item[near]])
+                    order = np.lexsort((place, -value))[:k]
+                    best[q] = value[order], place[order]
+                    if len(order) == k:
+                        least[q] = value[order[-1]]
+        for q, (value, place) in enumerate(best):
+            if len(value):
+                yield pa.RecordBatch.from_arrays([pa.array([str(ids[q])] * len(value)), pa.array(place), pa.array(value)], ["query_id", "item_id", "similarity"])
+
+    return rows.mapInArrow(run, "query_id string, item_id long, similarity double")
+
+
+def normalized_similarity(cosine: Column, threshold: float | Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine - threshold) / (1 - threshold)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below `shared_root`."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: its plan ends there, and lost executors cost no more than a read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
