@@ -38,7 +38,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     embeddings find nothing; vectors of another length than the queries' fail.
     """
     masked = "mask" in queries.columns
-    asked = queries.where("embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.col("mask" if masked else F.lit(0)).cast("long").alias("mask"))
+    asked = queries.where("embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("mask") if masked else F.lit(0)).cast("long").alias("mask"))
     size = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
     blocks = max(1, -(-size // TOLD_NUMBERS))
     rows = vectors.select("item_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("bits") if masked else F.lit(0)).cast("long").alias("bits")).where("embedding is not null")
