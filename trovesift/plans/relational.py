@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trovesift.catalog import query
+from trovesift.functions.paths import directory
 from trovesift.operators import health, merge
 from trovesift.plans.relations import CONTENT, FAILURES, FEEDBACK, ITEMS, content, failures, feedback, items, table, with_
 
@@ -72,12 +73,12 @@ def candidate_union_origins(spark, sf_dir):
     return merge.union_origins([(strict, 1), (relaxed, 2), (by_name, 4)])
 
 
-@query(with_(ITEMS) + """, hits AS (SELECT item_id, name FROM items WHERE extension = 'pdf' AND item_id % 3 = 0)
+@query(with_(ITEMS) + """, hits AS (SELECT item_id, name FROM items WHERE extension = 'pdf' AND contains(path, '/Documents/'))
 SELECT item_id, 'lexical' AS origin FROM hits UNION ALL
 SELECT * FROM (SELECT item_id, 'name' FROM items WHERE contains(lower(name), '11') AND item_id NOT IN (SELECT item_id FROM hits) ORDER BY length(name), name, item_id LIMIT 6)""")
 def name_fallback_union(spark, sf_dir):
     i = items(spark, sf_dir)
-    hits = i.where((F.col("extension") == "pdf") & (F.col("item_id") % 3 == 0))
+    hits = i.where((F.col("extension") == "pdf") & F.col("path").contains("/Documents/"))
     return merge.append_missing(hits, i.where(F.lower("name").contains("11")), 6)
 
 
@@ -123,8 +124,9 @@ def filtered_topk(spark, sf_dir):
 
 
 @query(with_(ITEMS) + """SELECT item_id, CASE WHEN is_pinned THEN 'pinned' WHEN r <= 5 THEN 'recent' ELSE 'files' END AS section, r AS place FROM (
-  SELECT *, row_number() OVER (ORDER BY modified_at DESC, item_id) AS r FROM items WHERE extension = 'py')""")
+  SELECT *, row_number() OVER (PARTITION BY extension, path_root ORDER BY modified_at DESC, item_id) AS r FROM (SELECT *, regexp_extract(path, '^(.*)/', 1) AS path_root FROM items))""")
 def result_sections(spark, sf_dir):
-    """Sections of one result list; it is a list of hits, not the catalog, so one window over it is meant."""
-    ranked = items(spark, sf_dir).where("extension = 'py'").withColumn("place", F.row_number().over(Window.orderBy(F.desc("modified_at"), "item_id")))
+    """Sections of result lists: one list for each kind of file in each folder."""
+    order = Window.partitionBy("extension", directory(F.col("path"))).orderBy(F.desc("modified_at"), "item_id")
+    ranked = items(spark, sf_dir).withColumn("place", F.row_number().over(order))
     return ranked.select("item_id", F.when(F.col("is_pinned"), "pinned").when(F.col("place") <= 5, "recent").otherwise("files").alias("section"), "place")
