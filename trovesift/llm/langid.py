@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovesift.llm import textops
-from trovesift.llm.shared import map_beside
+from trovesift.llm.shared import map_beside, release
 
 # Language families by ISO 639-1 code; a language not named is its own family.
 FAMILIES = {
@@ -225,6 +225,8 @@ def fit(docs: DataFrame, per_language: int = 600) -> LanguageModel:
     def run(batches):
         rows = sorted((r["doc_id"] is None, r["doc_id"], r["text"], r["lang"]) for batch in batches for r in batch.to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(text, lang) for _, _, text, lang in rows]))])], ["model"])
+        del rows
+        release()
 
     sample = labelled_sample(docs, per_language).repartition(1)
     found = sample.mapInArrow(run, "model binary").first()
