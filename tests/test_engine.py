@@ -18,6 +18,7 @@ from trovesift.functions import text
 from trovesift.operators import answers, embedding, fulltext, health, indexing, learning, requests, rewrite, understanding, vector
 from trovesift.sources import files, readers, stores
 from trovesift.sources.scratch import shared_folder
+from trovesift.sources.snapshots import Snapshots
 from trovesift.streaming import pipelines
 
 
@@ -118,6 +119,48 @@ def test_word_pieces():
     assert len(ids) == 512 and segments.count(1) == 1
 
 
+def test_word_pieces_of_a_batch(spark):
+    v = {p: k for k, p in enumerate(["[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "a", "##a", "!"])}
+    texts = ["unaffable a!", "", None, "a" * 201, "a" * 199 + " unx un", "a " * 600]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", embedding.wordpiece(v)("t").alias("ids")).collect()
+    assert {r.id: r.ids for r in got} == {k: embedding.encode_text(t or "", v) for k, t in enumerate(texts)}
+
+
+def test_breaker_closes_again():
+    now = [0.0]
+    breaker = embedding.Breaker(2, 30.0, lambda: now[0])
+    breaker.report(False)
+    assert breaker.state == "closed" and breaker.ready()
+    breaker.report(False)
+    assert breaker.state == "open" and not breaker.ready()
+    now[0] = 30.0
+    assert breaker.state == "half_open" and breaker.ready()
+    breaker.report(False)  # one try is enough to open it again
+    assert breaker.state == "open"
+    now[0] = 61.0
+    breaker.report(True)
+    assert breaker.state == "closed" and breaker.failures == 0
+
+
+def test_missing_vectors_are_taken_up_again(spark):
+    log = Snapshots(spark, shared_folder(spark, "embedded"), {"vectors": "item_id long, passage int, embedding array<double>"})
+    chunks = spark.createDataFrame([(1, 0, "ok"), (2, 0, "bad"), (2, 1, "ok")], "item_id long, passage int, text string").coalesce(1)
+
+    def model(bad):
+        def run(texts):
+            if any(t in bad for t in texts):
+                raise ValueError("bad")
+            return np.ones((len(texts), 2))
+
+        return run
+
+    failed = spark.sparkContext.accumulator(0)
+    assert embedding.embed(chunks, model(["bad"]), 2, failed=failed).where("embedding is null").count() == 1 and failed.value == 1
+    assert embedding.embed_missing(spark, log, "vectors", chunks, model(["bad"]), 2, ("embed", 0)) == 1
+    assert embedding.embed_missing(spark, log, "vectors", chunks, model([]), 2, ("embed", 0)) == 1  # the same batch once more
+    assert embedding.embed_missing(spark, log, "vectors", chunks, model([]), 2, ("embed", 1)) == 0 and log.read("vectors").count() == 3
+
+
 def test_embed_falls_back_row_by_row(spark):
     def model(texts):
         if any("bad" in t for t in texts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trovesift.operators.indexing import first_passages
 from trovesift.operators.vector import dot, normalize
+from trovesift.sources.snapshots import Snapshots
 
 #: Tokens of one text, and of a pair, beside the marks.
 MOST_TOKENS, MOST_PAIR = 510, 509
@@ -29,13 +31,16 @@ def basic_tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+|[^\w\s]|_", plain)
 
 
-def word_pieces(word: str, vocabulary: dict[str, int], unknown: str = "[UNK]", longest: int = 200) -> list[str]:
-    """The longest known piece from each place on; later pieces begin with ##. A word that doesn't come out is unknown."""
+def word_pieces(word: str, vocabulary: dict[str, int], unknown: str = "[UNK]", longest: int = 200, piece: int | None = None) -> list[str]:
+    """The longest known piece from each place on; later pieces begin with ##. A word that doesn't come out, or is longer than `longest`, is unknown. No piece has more than `piece` letters, if that is given."""
+    if len(word) > longest:
+        return [unknown]
     out, at = [], 0
     while at < len(word):
         mark = "##" if at else ""
-        end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in vocabulary), None)
-        if end is None or len(word) > longest:
+        furthest = len(word) if piece is None else min(len(word), at + piece)
+        end = next((e for e in range(furthest, at, -1) if mark + word[at:e] in vocabulary), None)
+        if end is None:
             return [unknown]
         out.append(mark + word[at:end])
         at = end
@@ -58,15 +63,56 @@ def encode_pair(a: str, b: str, vocabulary: dict[str, int]) -> tuple[list[int],
 
 
 def wordpiece(vocabulary: dict[str, int]):
-    """A column function from texts to ids."""
+    """A column function from texts to ids, as `encode_text`; a batch's words are cut once each."""
+    piece = max((len(p.removeprefix("##")) for p in vocabulary), default=1)
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode_text(t or "", vocabulary))
+        known: dict[str, list[int]] = {}
+
+        def ids(word: str) -> list[int]:
+            if word not in known:
+                known[word] = [vocabulary[p] for p in word_pieces(word, vocabulary, piece=piece)]
+            return known[word]
+
+        def encode(text: str | None) -> list[int]:
+            out: list[int] = []
+            for word in basic_tokens(text or ""):
+                out += ids(word)
+                if len(out) >= MOST_TOKENS:
+                    break
+            return [vocabulary["[CLS]"], *out[:MOST_TOKENS], vocabulary["[SEP]"]]
+
+        return pd.Series([encode(t) for t in texts])
 
     return run
 
 
+class Breaker:
+    """Stops asking a model that failed `most` times in a row; after a rest it is asked once more, and again as usual if that works."""
+
+    def __init__(self, most: int = 5, rest: float = 30.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.most, self.rest, self.clock = most, rest, clock
+        self.failures, self.opened = 0, None
+
+    @property
+    def state(self) -> str:
+        if self.opened is None:
+            return "closed"
+        return "half_open" if self.clock() - self.opened >= self.rest else "open"
+
+    def ready(self) -> bool:
+        return self.state != "open"
+
+    def report(self, worked: bool) -> None:
+        if worked:
+            self.failures, self.opened = 0, None
+        else:
+            self.failures += 1
+            if self.failures >= self.most or self.opened is not None:
+                self.opened = self.clock()
+
+
 def deterministic(text: Column, dimensions: int, seed: int = 0) -> Column:
     """A unit vector that follows from the text alone: a linear congruential sequence from its digest, for tests and as a fallback."""
     a, c, steps = 1, 0, []
@@ -85,24 +131,27 @@ def deterministic(text: Column, dimensions: int, seed: int = 0) -> Column:
     return normalize(F.transform(table, value))
 
 
-def embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None, dimensions: int, column: str = "text", most_failures: int = 5) -> DataFrame:
+def embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None, dimensions: int, column: str = "text", most_failures: int = 5, rest: float = 30.0, failed=None) -> DataFrame:
     """`df` with `embedding`: batches through a model (texts to a matrix). A failing batch is tried row by row; rows that fail are null.
 
-    After `most_failures` batches in a row without any result a task stops asking the
-    model. Without a model the vectors are those of `deterministic`.
+    After `most_failures` batches in a row without any result a task lets the model rest
+    for `rest` seconds; rows in between are null. `failed`, an accumulator, counts rows
+    that came out null. Without a model the vectors are those of `deterministic`.
     """
     if embedder is None:
         return df.withColumn("embedding", deterministic(F.coalesce(F.col(column), F.lit("")), dimensions))
 
-    return df.mapInPandas(lambda frames: _embed_frames(frames, embedder, dimensions, column, most_failures), f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, embedding array<double>")
+    def run(frames):
+        return _embed_frames(frames, embedder, dimensions, column, Breaker(most_failures, rest), failed)
 
+    return df.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, embedding array<double>")
 
-def _embed_frames(frames, embedder, dimensions, column, most_failures):
-    failures = 0
+
+def _embed_frames(frames, embedder, dimensions, column, breaker: Breaker, failed=None):
     for frame in frames:
         texts = frame[column].fillna("").tolist()
         rows: list = [None] * len(texts)
-        if texts and failures < most_failures:
+        if texts and breaker.ready():
             try:
                 rows = [v.tolist() for v in np.asarray(embedder(texts), float).reshape(len(texts), dimensions)]
             except Exception:  # a model fails in ways of its own
@@ -111,10 +160,25 @@ def _embed_frames(frames, embedder, dimensions, column, most_failures):
                         rows[k] = np.asarray(embedder([text]), float).reshape(dimensions).tolist()
                     except Exception:
                         rows[k] = None
-            failures = 0 if any(x is not None for x in rows) else failures + 1
+            breaker.report(any(x is not None for x in rows))
+        if failed is not None:
+            failed.add(sum(x is None for x in rows))
         yield frame.assign(embedding=rows)
 
 
+def embed_missing(spark: SparkSession, log: Snapshots, table: str, chunks: DataFrame, embedder, dimensions: int, once: tuple[str, int] | None = None) -> int:
+    """Embed the chunks (item_id, passage, text) that a table of vectors lacks, and commit what came out; how many are still missing.
+
+    Rows that failed stay missing, so the next call, by a stream's batch or a schedule,
+    takes them up again; a repeated batch (`once`) does nothing.
+    """
+    there = log.read(table)
+    lacking = chunks.select("item_id", "passage", "text").join(there.select("item_id", "passage"), ["item_id", "passage"], "left_anti")
+    made = embed(lacking, embedder, dimensions).where("embedding is not null").select("item_id", "passage", "embedding")
+    log.commit({table: made}, once=once)
+    return chunks.select("item_id", "passage").join(log.read(table).select("item_id", "passage"), ["item_id", "passage"], "left_anti").count()
+
+
 def rebuild(chunks: DataFrame, embedder, dimensions: int, most_passages: int = 3, most_chars: int = 8192) -> DataFrame:
     """(item_id, passage, embedding) for a new generation: the first passages of each item, cut, embedded; rows that fail are left out."""
     passages = first_passages(chunks, most_passages).select("item_id", F.col("ordinal").cast("int").alias("passage"), F.substring("chunk_text", 1, most_chars).alias("text"))
