@@ -54,6 +54,13 @@ def test_several_parts(spark, built):
     assert recall(index, v, asked_of(v))[0] >= 0.95
 
 
+def test_queries_in_blocks(built, monkeypatch):
+    index, v, _ = built
+    whole = {tuple(r) for r in index.search(asked_of(v, 997), 3).collect()}
+    monkeypatch.setattr(graph, "TOLD_NUMBERS", 64)
+    assert {tuple(r) for r in index.search(asked_of(v, 997), 3).collect()} == whole and len(whole) == 21
+
+
 def test_filters(spark, built):
     index, v, _ = built
     for share in (3, 50):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovesift.operators.embedding import DELETED_SHARE
+from trovesift.operators.vector import TOLD_NUMBERS
 from trovesift.sources.snapshots import Snapshots
 
 #: Vectors of a part, links of a node in the lowest layer, and the share of nodes in each next layer.
@@ -298,10 +300,17 @@ class GraphIndex:
     def search(self, queries: DataFrame, k: int = 10, width: int = WIDTH, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, rank, item_id, similarity, touched): about the `k` nearest of each query (query_id, embedding), among the items of `allowed` if it is given, and how many vectors were compared for the query.
 
-        Queries are bounded, and told to all tasks; every part's task gives `k` for each.
+        Queries are told to all tasks in blocks of bounded size; every part's task gives `k` for each.
         """
-        asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).toArrow()
-        schema = queries.select("query_id").schema.add("item_id", "long").add("similarity", "double").add("touched", "long")
+        known = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        blocks = -(-(known.agg(F.sum(F.size("embedding"))).first()[0] or 0) // TOLD_NUMBERS)
+        if blocks > 1:
+            return reduce(DataFrame.unionByName, (self._search(known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, width, allowed) for b in range(blocks)))
+        return self._search(known, k, width, allowed)
+
+    def _search(self, known: DataFrame, k: int, width: int, allowed: DataFrame | None) -> DataFrame:
+        asked = known.toArrow()
+        schema = known.select("query_id").schema.add("item_id", "long").add("similarity", "double").add("touched", "long")
         if not asked.num_rows or not self.parts:
             return self.spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "item_id", "similarity", "touched")
         column = asked.column("embedding").combine_chunks()
