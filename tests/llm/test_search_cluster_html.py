@@ -1,4 +1,4 @@
-"""Ranked search, clustering and HTML extraction against brute force and SQL."""
+"""Ranked search, clustering and HTML extraction against brute force; test_operators.py holds the first two against SQL."""
 
 from __future__ import annotations
 
@@ -12,17 +12,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
-from compare import assert_same
 
-from trovesift.llm import clustering, html_extract, queries, ranked_search
+from trovesift.llm import clustering, html_extract, ranked_search
 from trovesift.llm.page_samples import labelled_page
 
 
-@pytest.mark.parametrize("name", ["op11_ranked_search", "op12_centroid_clustering"])
-def test_sql(spark, data, name):
-    assert_same(queries.queries()[name](spark, data), queries.oracle_sql()[name], data)
-
-
 # Ranked search
 
 
