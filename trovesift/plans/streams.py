@@ -17,6 +17,11 @@ def _events(spark, sf_dir):
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _to_millis(at):
+    """The nearest millisecond of a time, as `epoch_ms` of the SQL has it: the streams with state by key count in these."""
+    return F.timestamp_millis(F.round(F.unix_micros(at).cast("decimal(20, 0)") / 1000).cast("long"))
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     """Events that arrive twice are kept once."""
@@ -79,7 +84,7 @@ FROM walk w JOIN steps s ON s.path = w.path AND s.i = w.i WHERE w.rank IS NOT NU
 def path_dispatches(spark, sf_dir):
     """A user's events as changes of a path, purchases as completions: bursts by half an hour, one dispatch in flight."""
     kind = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))[F.col("event_type")]
-    events = _events(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("path"), kind.alias("kind"), F.col("ts").alias("at"))
+    events = _events(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("path"), kind.alias("kind"), _to_millis(F.col("ts")).alias("at"))
     out = shared_folder(spark, "dispatches")
     with P.keyed_state(spark):
         P.run_now(coordinator.dispatches(events, late="1 hour", quiet_ms=1_800_000), f"{out}/data", f"{out}/checkpoint")
@@ -103,7 +108,7 @@ FROM (SELECT item_id, i, tier, unnest(CASE WHEN len(got) = 0 THEN [NULL] ELSE go
 def stream_attribution(spark, sf_dir):
     """Views are exposures, clicks are clicks; each view is taken once, and a click without one is a positive of its own."""
     events = _events(spark, sf_dir).where("event_type in ('view', 'click')").select(
-        F.when(F.col("event_type") == "click", "click").otherwise("exposure").alias("side"), "event_id", (F.col("event_id") % 20).alias("item_id"), F.col("ts").alias("at"),
+        F.when(F.col("event_type") == "click", "click").otherwise("exposure").alias("side"), "event_id", (F.col("event_id") % 20).alias("item_id"), _to_millis(F.col("ts")).alias("at"),
         F.col("user_id").cast("string").alias("context"), F.get_json_object("props", "$.k").alias("digest"), (F.col("user_id") % 5).cast("string").alias("query"),
     )
     out = shared_folder(spark, "attribution")
