@@ -1,6 +1,7 @@
 """The inverted index as it grows: changes, conflicts, merges, and a term of every chunk."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,25 @@ def test_empty_index(spark):
     assert index.n == 0 and index.whole() and index.bm25(["a"], False).count() == 0 and index.lexicon().count() == 0
     index = index.replace(spark.createDataFrame([(1, 0, "a", "/a", "b")], SCHEMA))
     assert index.n == 1 and index.whole() and index.delete(spark.createDataFrame([(1,)], "item_id long")).n == 0
+
+
+def test_words_are_counted_in_their_rows(spark, tmp_path):
+    """No row for each word is hashed or shuffled before the postings are dealt; chunks that come twice are added up."""
+    from collections import Counter
+
+    rows = [(k, 0, f"n{k}.md", f"/h/n{k}.md", " ".join(f"w{(j * j) % 11}" for j in range(k * 3))) for k in range(12)] + [(3, 0, "n3.md", "/h/n3.md", " ".join(f"w{j}" for j in range(9)))] + [(50, 1, None, "", None)]
+    chunks = spark.createDataFrame(rows, "item_id long, chunk_index int, name string, path string, chunk_text string")
+    index = fulltext.Index.build(chunks, f"file://{tmp_path}/counted")
+    plan = fulltext._postings(fulltext._forward(fulltext._fields(chunks, False, False)))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    want = Counter()
+    for item, chunk, *texts in rows:
+        for field, x in enumerate(texts):
+            for w in re.findall(r"[^\W_]+", (x or "").lower()):
+                want[w, item, chunk, field] += 1
+    got = Counter()
+    for r in index.postings.where("term <> ''").collect():
+        for field, n in enumerate((r.tf_name, r.tf_path, r.tf_content)):
+            got[r.term, r.item_id, r.chunk_index, field] += n
+    assert +got == +want and index.n == len(rows)
+    assert {r.term: r.df for r in index.frequencies.collect()} == Counter(w for w, *_ in {k[:3] for k in want})
