@@ -120,15 +120,20 @@ def deterministic(text: Column, dimensions: int, seed: int = 0) -> Column:
         a, c = a * 1664525 % (1 << 32), (c * 1664525 + 1013904223) % (1 << 32)
         steps.append((a, c))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 8), 16, 10).cast("long")
-    low, high, full = F.lit(0xFFFF).cast("long"), F.shiftright(start, 16), F.lit(0xFFFFFFFF).cast("long")
-    low_part = start.bitwiseAND(low)
+    low, full = F.lit(0xFFFF).cast("long"), F.lit(0xFFFFFFFF).cast("long")
 
-    def value(x: Column) -> Column:
-        state = (x["a"] * low_part + F.shiftleft((x["a"] * high).bitwiseAND(low), 16) + x["c"]).bitwiseAND(full)
-        return state.bitwiseAND(low) / 65535.0 * 2.0 - 1.0
+    def values(start: Column) -> Column:
+        high, low_part = F.shiftright(start, 16), start.bitwiseAND(low)
+
+        def value(x: Column) -> Column:
+            state = (x["a"] * low_part + F.shiftleft((x["a"] * high).bitwiseAND(low), 16) + x["c"]).bitwiseAND(full)
+            return state.bitwiseAND(low) / 65535.0 * 2.0 - 1.0
+
+        return F.transform(table, value)
 
     table = F.array(*(F.struct(F.lit(x).cast("long").alias("a"), F.lit(y).cast("long").alias("c")) for x, y in steps))
-    return normalize(F.transform(table, value))
+    once = lambda x, function: F.element_at(F.transform(F.array(x), function), 1)  # noqa: E731 - a lambda's variable: the text is digested once, not for each component
+    return once(once(start, values), normalize)
 
 
 def embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None, dimensions: int, column: str = "text", most_failures: int = 5, rest: float = 30.0, failed=None) -> DataFrame:
