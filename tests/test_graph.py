@@ -96,3 +96,18 @@ def test_empty_and_odd_vectors(spark):
     assert [(r.query_id, r.item_id) for r in index.search(asked, 3).orderBy("rank").collect()] == [(1, 1), (1, 4), (1, 2)]
     with pytest.raises(ValueError):
         graph.GraphIndex.build(rows.unionByName(spark.createDataFrame([(9, [1.0])], rows.schema)), shared_folder(spark, "lengths"))
+
+
+def test_adding_copies_the_vectors_once(monkeypatch):
+    """A change grows a part's arrays once, not for each vector; an empty part takes vectors too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    part, copies = graph.Part(np.arange(100), x[:100]), []
+    whole = np.concatenate
+    monkeypatch.setattr(graph.np, "concatenate", lambda arrays, *a, **k: copies.append(1) or whole(arrays, *a, **k))
+    part.add(np.arange(100, 300), x[100:])
+    assert len(copies) < 10 and part.ids.tolist() == list(range(300)) and part.x.shape == (300, 8)
+    empty = graph.Part(np.zeros(0), np.zeros((0, 1)))
+    empty.add(np.arange(5), x[:5])
+    assert empty.search(x[3], 1)[0][0][0] == 3 and part.search(x[250], 1)[0][0][0] == 250

@@ -39,12 +39,15 @@ def _apart(x: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> list
     """Of `near` in falling similarity, those that are nearer to the node than to any one chosen before; filled up with the next ones."""
     chosen: list[int] = []
     between = x[near] @ x[near].T
+    closest = np.full(len(near), -np.inf, between.dtype)  # of each, to what is chosen
     for k in range(len(near)):
         if len(chosen) >= most:
             break
-        if not chosen or between[k, chosen].max() < sims[k]:
+        if closest[k] < sims[k]:
             chosen.append(k)
-    rest = [k for k in range(len(near)) if k not in set(chosen)]
+            np.maximum(closest, between[:, k], out=closest)
+    taken = set(chosen)
+    rest = [k for k in range(len(near)) if k not in taken]
     return near[(chosen + rest[: max(0, most // 2 - len(chosen))])].tolist()
 
 
@@ -179,11 +182,11 @@ class Part:
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Link new vectors in, one by one; an id that is there already is marked first."""
         self.mark(ids)
-        for item, v in zip(ids.tolist(), x.astype(np.float32), strict=True):
-            node = len(self.ids)
-            self.ids, self.x = np.append(self.ids, item), np.concatenate([self.x, v[None]])
-            height = int(self._heights(np.array([item]))[0])
-            self.dead, self.height = np.append(self.dead, False), np.append(self.height, height)
+        there, heights = len(self.ids), self._heights(ids.astype(np.int64))
+        self.ids, self.x = np.concatenate([self.ids, ids.astype(np.int64)]), np.concatenate([self.x.reshape(there, x.shape[1]), x.astype(np.float32)])
+        self.dead, self.height = np.concatenate([self.dead, np.zeros(len(ids), bool)]), np.concatenate([self.height, heights])
+        for node in range(there, len(self.ids)):
+            v, height = self.x[node], int(self.height[node])
             if self.entry < 0:
                 self.layers, self.entry = [{node: []} for _ in range(height + 1)], node
                 continue
