@@ -131,3 +131,24 @@ def test_searches_give_all_hits(spark, tmp_path, name):
     found = catalog.queries()[name](spark, str(tmp_path))
     assert found.count() > 8000
     assert_same(found, catalog.oracle_sql()[name], str(tmp_path))
+
+
+def on_documents(folder, docs):
+    """The smallest tables with other documents (doc_id, text)."""
+    import pandas as pd
+    from compare import TABLES
+
+    for t in set(TABLES) - {"documents"}:
+        (folder / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    pd.DataFrame([(k, x, "en", f"src{k % 3}", len(x)) for k, x in docs], columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+def test_relaxed_words_are_not_taken_for_typos(spark, tmp_path):
+    """Words near enough to be sure corrections, with the stronger hits: as on large tables, where some word always is."""
+    from compare import assert_same
+
+    from trovesift import catalog
+
+    folder = on_documents(tmp_path, [(k, "the lichen of the gpl grows, lichen by lichen, on stones" if k % 9 == 0 else "licensed and released for any use by anyone at all") for k in range(300)])
+    assert_same(catalog.queries()["search_relaxed"](spark, folder), catalog.oracle_sql()["search_relaxed"], folder)
