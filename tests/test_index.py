@@ -152,3 +152,16 @@ def test_relaxed_words_are_not_taken_for_typos(spark, tmp_path):
 
     folder = on_documents(tmp_path, [(k, "the lichen of the gpl grows, lichen by lichen, on stones" if k % 9 == 0 else "licensed and released for any use by anyone at all") for k in range(300)])
     assert_same(catalog.queries()["search_relaxed"](spark, folder), catalog.oracle_sql()["search_relaxed"], folder)
+
+
+def test_rare_terms_are_candidates_too(spark, tmp_path):
+    """`license` comes after 5000 more frequent terms of its letter."""
+    from compare import assert_same
+
+    from trovesift import catalog
+
+    many = " ".join(f"l{k}" for k in range(5001))
+    folder = on_documents(tmp_path, [(1, many), (2, many), (3, "a license of which nothing else here has the word, released")])
+    found = catalog.queries()["typo_confidence"](spark, folder)
+    assert ("lisense", "license") in {(r.token, r.term) for r in found.collect()}
+    assert_same(found, catalog.oracle_sql()["typo_confidence"], folder)
