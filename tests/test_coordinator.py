@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -138,6 +139,37 @@ def test_attribution_as_a_stream(rocks, tmp_path):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_a_click_looks_at_what_may_tie_only():
+    """Of a hot item: 40,000 clicks among 80,000 exposures of one interval, which once were all looked at by each click."""
+    rnd = random.Random(3)
+    state = A.ItemState(7_200_000, 60_000)
+    events = [("click" if k % 3 == 0 else "exposure", [rnd.randrange(7_000_000), k, f"u{rnd.randrange(30_000)}", f"d{rnd.randrange(100)}", f"q{rnd.randrange(5)}"]) for k in range(120_000)]
+    for side, event in events:
+        state.add(side, event)
+    began = time.process_time()
+    found = state.advance(10**9)
+    assert time.process_time() - began < 20 and len({x[0] for x in found}) == 40_000
+    taken = [x[1] for x in found if x[1] is not None]
+    assert len(taken) == len(set(taken)) > 70_000
+
+
+def test_attribution_in_parts_of_time(rocks, tmp_path, monkeypatch):
+    """Events over hours, so that the state is of many parts, added in several batches."""
+    spark, rnd = rocks, random.Random(19)
+    events = some_events(rnd, 600, 4 * 3_600_000)
+    events += [(side, 1000 + k, item, ms + rnd.randrange(40_000), *ties) for k, (side, _, item, ms, *ties) in enumerate(events)]
+    want = taken_by_brute_force(events)
+    rows = spark.createDataFrame([*events, ("exposure", 9999, 77, 10**8, "x", "x", "x")], "side string, event_id long, item_id long, ms long, context string, digest string, query string").selectExpr("side", "event_id", "item_id", "timestamp_millis(ms) AS at", "context", "digest", "query")
+    for k in range(3):
+        rows.where(f"event_id % 3 = {k} AND event_id <> 9999").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    rows.where("event_id = 9999").coalesce(1).write.parquet(f"{tmp_path}/in/3")
+    monkeypatch.setattr(A, "HELD", 50)
+    stream = spark.readStream.schema(A.EVENTS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    pipelines.run_now(A.attribute_stream(stream, late="5 hours"), f"{tmp_path}/out", f"{tmp_path}/c")
+    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("item_id", "click_id", "exposure_id", "tier", "confidence", "unix_millis(at) AS ms").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want and len({r.ms // 600_000 for r in got}) > 20
+
+
 @pytest.mark.parametrize("name", ["path_dispatches", "stream_attribution"])
 def test_times_between_milliseconds_are_rounded_as_in_the_sql(spark, tmp_path, name):
     """Compared digit by digit: `assert_same` takes six digits of a number, which hides milliseconds."""
